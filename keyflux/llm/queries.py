@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding, minhash, mixing, packing, quality, secrets, warc
+from . import chat, embedding, minhash, mixing, packing, quality, search, secrets, warc
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.filter(F.col("doc_id") % 100 == 0))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,8 +50,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_mix_sources, op4_quality, op5_embedding_dedup, op7_warc, op9_pack, op10_secrets)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_mix_sources, op4_quality, op5_embedding_dedup, op6_bm25_topk, op7_warc, op9_pack, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE}
+    return {"op2_chat_format": chat.ORACLE, "op6_bm25_topk": search.ORACLE}
