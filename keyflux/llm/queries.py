@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding, minhash, mixing, packing, quality, search, secrets, warc
+from . import chat, embedding, lm, minhash, mixing, packing, quality, search, secrets, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_mix_sources, op4_quality, op5_embedding_dedup, op6_bm25_topk, op7_warc, op9_pack, op10_secrets)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_mix_sources, op4_quality, op5_embedding_dedup, op6_bm25_topk, op7_warc, op8_lm_score, op9_pack, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
