@@ -1,4 +1,55 @@
-"""The corpus pipeline: quality classifier, near-dedup, secret scan, mixing, packing."""
+"""The corpus pipeline: quality classifier, near-dedup, secret scan, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of documents.  run() writes each stage's result to the
+shared folder and reads it again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyflux.llm import minhash, mixing, packing, quality, secrets
+from keyflux.llm.common import materialize, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of this input's documents, accepts."""
+    return quality.accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates on five-word shingles: that with the smallest id."""
+    return minhash.deduplicated(docs.select(*COLUMNS))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return secrets.redact(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs.select(*COLUMNS)).filter("mix_copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their sequence and place."""
+    return packing.pack(docs.select(*COLUMNS))
+
+
+STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("secrets", secret_scan), ("mix", mix_sources), ("pack", pack_sequences)]
+
+#: SQL can't express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
