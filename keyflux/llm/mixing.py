@@ -71,7 +71,7 @@ def balance(hist: DataFrame, goal: DataFrame, iterations: int = 4, rounds: int =
             h = h.withColumns({"got": F.sum(mass * r).over(own), "slope": F.sum(F.when(free, mass * F.col("size") / F.col("mean") * r).otherwise(0.0)).over(own)})
             less = F.col("got") < F.col("target")
             h = h.withColumns({"lo": F.when(less, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(less, F.col("hi")).otherwise(F.col("lam"))})
-            step = F.col("lam") + F.least(F.lit(4.0), F.greatest(F.lit(-4.0), (F.col("target") - F.col("got")) / F.col("slope")))
+            step = F.col("lam") + F.least(F.lit(4.0), F.greatest(F.lit(-4.0), F.try_divide(F.col("target") - F.col("got"), F.col("slope"))))
             mid = (F.greatest(F.col("lo"), F.col("lam") - 64) + F.least(F.col("hi"), F.col("lam") + 64)) / 2
             h = h.withColumn("lam", F.when((F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi")), step).otherwise(mid)).drop("got", "slope")
         h = materialize(h, "mix")
