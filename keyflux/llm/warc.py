@@ -122,7 +122,7 @@ class ArchiveReader:
     def _directory(self) -> Iterator[Member]:
         tail_at = max(0, self.size - (22 + MAX16))
         tail = self.range(tail_at, self.size - tail_at)
-        at = tail.rfind(EOCD)
+        at = tail.rfind(EOCD, 0, len(tail) - 18)
         while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
             at = tail.rfind(EOCD, 0, at)
         if at < 0:
