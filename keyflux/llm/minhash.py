@@ -254,7 +254,11 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows with a null doc_id stay: they are linked with nothing.
     """
-    gone = materialize(near_duplicates(docs, k, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_")).distinct(), "minhash-gone")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = near_duplicates(docs, k, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = materialize(gone.select(F.col("doc_id").alias(name)).distinct(), "minhash-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("gone_"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
