@@ -1,0 +1,219 @@
+"""Chat formatting, secrets, search, language model and classifier."""
+
+import hashlib
+import math
+import os
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import regex
+from hypothesis import given
+from hypothesis import strategies as st
+
+from keyflux.llm import chat, lm, quality, queries, search, secrets
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+pieces = st.text(alphabet=st.sampled_from(list("<|>\\ \n%im_startend{}ü")) | st.characters(exclude_categories=["Cs"]), max_size=40)
+marks = st.lists(st.sampled_from(["<|im_end|>", "<|im_start|>", "<\\|", "<", "|", "\\", "\n", "a"]), max_size=8).map("".join)
+
+
+@given(st.lists(st.tuples(pieces | marks, pieces | marks), max_size=4))
+def test_chat_round_trip(turns):
+    assert chat.parse("".join(chat.render_turn(r, t) for r, t in turns)) == turns
+
+
+@given(marks, marks)
+def test_escapes_tell_texts_apart(a, b):
+    assert chat.unescape(chat.escape(a)) == a and (a == b) == (chat.escape(a) == chat.escape(b))
+    assert "<|" not in chat.escape(a)
+
+
+def test_odd_conversations(spark):
+    schema = "conv_id long, turn long, role string, text string, formatted int"
+    rows = [(1, 1, "assistant", "b", 1), (1, 0, "user", None, 1), (1, 1, "assistant", "b", 1), (1, 1, "assistant", "a", 1), (2, None, None, "<|im_end|>", 1), (None, 0, "assistant", "é" * 100_000, 1)]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, schema))).collect()}
+    sha = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    assert got[1]["n_turns"] == 4 and got[1]["turns_sha256"] == sha("user\n\n", "assistant\na\n", "assistant\nb\n", "assistant\nb\n") and got[1]["loss_sha256"] == sha("abb")
+    assert got[2]["turns_sha256"] == sha("\n<|im_end|>\n") and got[2]["loss_chars"] == 0
+    assert got[None]["loss_chars"] == 100_000 and got[None]["formatted_chars"] == 100_000 + 24 + 9
+    assert chat.read_back(chat.format_turns(spark.createDataFrame([], schema))).count() == 0
+
+
+@tables
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings", "pages", "labels", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    a, b = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    cols = sorted(a.columns)
+    key = lambda d: sorted(map(tuple, d[cols].astype(object).values.tolist()), key=repr)
+    assert cols == sorted(b.columns) and key(a) == key(b)
+
+
+ASSIGN = regex.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_spans(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in regex.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in regex.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+@given(st.lists(st.sampled_from(["password", "Token", "ſecret", "api_key", "=", ": ", " ", '"', "abcdef012345", "AKIA", "ABCDEFGHIJKLMN", "0", "é", "deadbeefdeadbeef", "-"]), max_size=14).map("".join))
+def test_base_spans(text):
+    assert secrets.Scanner().scan(text)[0] == brute_spans(text)
+
+
+@given(st.text(alphabet="abcdXYZ0123456789", min_size=20, max_size=80), st.sampled_from([16, 20]), st.sampled_from([2.5, 3.0]))
+def test_windows_against_counting_anew(run, width, least):
+    covered = set()
+    for i in range(len(run) - width + 1):
+        w = run[i : i + width]
+        h = -sum(c / width * math.log2(c / width) for c in Counter(w).values())
+        if h >= least - 1e-9 and any(c.isdigit() for c in w) and not w.isdigit():
+            covered |= set(range(i, i + width))
+    got = {p for a, b in secrets.Scanner().windows(run, width, least - 1e-9) for p in range(a, b)}
+    assert got == covered
+
+
+def test_entropy_spans_and_clean_texts():
+    s = secrets.Scanner()
+    assert [k for _, k, _ in s.scan("key Zx81Kq0pLm73Rt5vWy29Bn4cHd6 end")[1]] == [3]
+    for clean in ("thisisaverylongwordwithoutanydigits", "2024-01-01/2025-02-02", "1234567890123456789012", "THE-QUICK-BROWN-FOX-JUMPS-OVER", "x" * 50, "AKIAEXAMPLEEXAMPLE0"):
+        assert not [k for _, k, _ in s.scan(clean)[1] if k == 3], clean
+    assert s.redact("token = abcdef0123456789 x") == "[REDACTED] x"
+
+
+def test_secrets_of_odd_documents(odd_docs, no_docs):
+    got = secrets.scan(odd_docs).collect()
+    assert len(got) == odd_docs.count() and secrets.scan(no_docs).count() == 0
+    one = next(r for r in got if r["doc_id"] == 13)
+    assert (one["n_assign"], one["n_access"], one["n_hex"]) == (1, 1, 1) and one["spans"].startswith("assign:0:27,hex:11:27,access:")
+    clean = secrets.redact(odd_docs)
+    assert clean.columns == odd_docs.columns and {r["doc_id"]: r["text"] for r in clean.collect()}[13] == "[REDACTED] é [REDACTED]"
+
+
+def brute_bm25(docs, asked, k=10):
+    tf = [Counter((t or "").encode().lower().split()) for _, t in docs]
+    df = Counter(w for c in tf for w in c)
+    n, size = len(docs), [sum(c.values()) for c in tf]
+    avg = sum(size) / n
+    out = {}
+    for q, text in asked:
+        terms = set((text or "").encode().lower().split())
+        score = [round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * s / avg)) for w in terms if w in c), 6) for c, s in zip(tf, size)]
+        best = sorted((-s, d is None, d or 0) for s, (d, _) in zip(score, docs) if s > 0)[:k]
+        out[q] = [(-s, None if null else d) for s, null, d in best]
+    return out
+
+
+def test_search_of_odd_documents(odd_docs, no_docs, monkeypatch):
+    asked = odd_docs.filter("doc_id in (1, 3, 4, 6, 8, 14)")
+    want = brute_bm25([(r["doc_id"], r["text"]) for r in odd_docs.collect()], [(r["doc_id"], r["text"]) for r in asked.collect()])
+    for tokens in (5_000_000, 40_000):
+        monkeypatch.setattr(search, "SHARD_TOKENS", tokens)
+        got = {}
+        for r in search.search(odd_docs, asked).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["score"], r["doc_id"]))
+        assert got == {q: [(pytest.approx(s, abs=2e-6), d) for s, d in v] for q, v in want.items() if v}
+    assert search.search(no_docs, no_docs).count() == 0 and search.search(odd_docs, no_docs).count() == 0
+
+
+def test_pruned_search_equals_a_full_one():
+    rnd = np.random.default_rng(4)
+    shard = search.Shard(60.0)
+    docs = []
+    for i in range(700):
+        terms, tf = np.unique((rnd.zipf(1.3, rnd.integers(5, 120)) % 3000).astype(np.uint64), return_counts=True)
+        docs.append(dict(zip(terms.tolist(), tf.tolist())))
+        shard.add(i, terms, tf)
+    shard.seal()
+    for _ in range(60):
+        q = np.unique((rnd.zipf(1.3, rnd.integers(1, 80)) % 3000).astype(np.uint64))
+        w = rnd.random(len(q)) * 8
+        want = []
+        for i, d in enumerate(docs):
+            norm = search.K1 * (1 - search.B + search.B * sum(d.values()) / 60.0)
+            want.append((-round(sum(x * d[t] * 2.2 / (d[t] + norm) for t, x in zip(q.tolist(), w) if t in d), 6), i))
+        want = [(i, -s) for s, i in sorted(want)[:10] if s < 0]
+        got = shard.top(q, w, 10)
+        assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
+
+
+def test_lm_of_odd_documents(odd_docs, no_docs):
+    got = lm.score(odd_docs).collect()
+    docs = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b""]) for r in odd_docs.collect()]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    c = Counter(w for d, t in docs if not held(d) for w in t)
+    n, v = sum(c.values()), len(c)
+    want = sorted((d if d is not None else -1, held(d), len(t), sum(w in c for w in t), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 4)) for d, t in docs)
+    assert want == sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got)
+    assert all(r["score"] < 0 for r in got) and lm.score(no_docs).count() == 0
+
+
+def test_lm_probabilities_add_up(spark):
+    """Over all known words, the end, and "any other word"."""
+    rnd = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(60)]
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:200]
+    probes = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, " ".join(words[min(59, int(z))] for z in rnd.zipf(1.5, 30))) for i in train]
+    known = sorted({w for _, t in rows for w in t.split()})
+    rows += [(i, w) for i, w in zip(probes, [*known, "unknown"])] + [(probes[-1], "")]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    end = got[probes[-1]]
+    total = 10**end + sum(10 ** (got[i] - end) for i in probes[: len(known) + 1])
+    assert total == pytest.approx(1.0, abs=0.02)
+
+
+def test_seating_follows_the_restaurant():
+    """Mean tables of the sampler by groups and of customers seated one by one."""
+    rnd, n, p, d = np.random.default_rng(0), 400, 0.3, 0.6
+    fast = lm.seat(np.full(4000, n), np.full(4000, p), 5.0, d, np.arange(4000, dtype=np.uint64) * np.uint64(977)).mean()
+    slow = []
+    for _ in range(300):
+        t = 1
+        for i in range(1, n):
+            a = (lm.STRENGTH + d * (5 + t)) * p
+            t += rnd.random() < a / (a + i - d * t)
+        slow.append(t)
+    assert fast == pytest.approx(np.mean(slow), rel=0.06)
+
+
+@tables
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_isotonic_is_monotone_and_keeps_the_mean():
+    rnd = np.random.default_rng(0)
+    x = rnd.random(300)
+    y = (rnd.random(300) < x).astype(float)
+    k, v = quality.isotonic(x, y)
+    assert (np.diff(v) > 0).all() and (np.diff(k) > 0).all() and 0 <= v.min() and v.max() <= 1
+
+
+def test_quality_of_odd_documents(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (2, 1, 0), (6, 0, 0), (None, 1, 1), (8, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    for d, l in ((odd_docs, labels), (odd_docs, labels.limit(0)), (odd_docs, labels.filter("quality = 1"))):
+        got = quality.classify(d, l).collect()
+        assert len(got) == d.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+        assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert quality.classify(no_docs, labels).count() == 0
+    assert quality.accepted(odd_docs, labels).columns == odd_docs.columns
+
+
+@tables
+def test_quality_on_held_out_labels(spark):
+    sf = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.93
