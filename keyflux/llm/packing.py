@@ -11,6 +11,7 @@ tasks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,9 +25,11 @@ from .common import materialize
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 4096
 #: Words whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 350_000
 #: Salted groups of one length hold about so many pieces.
 GROUP = 1_000
+#: Letters of Latin-1 that Unicode composes and lower-cases one by one, then marks other than apostrophes.
+LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:%&*$#|()-]*)")
 
 
 @lru_cache(maxsize=2)
@@ -36,19 +39,37 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _encode(path: str, text: str) -> bytes:
+    return np.asarray(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class WordIds(dict):
     """Ids of a word between white space, as little-endian 32-bit bytes.
 
     The tokenizer drops white space and splits at it before anything else, so a
-    text's ids are its words' ids in order.
+    text's ids are its words' ids in order.  It also splits between a run of
+    letters and marks, and lower-cases: a Latin word with marks behind it is
+    looked up by its lower-cased letters.
     """
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.runs = path, {}
+
+    def of_run(self, run: str) -> bytes:
+        out = self.runs.get(run)
+        if out is None:
+            if len(self.runs) >= 2 * REMEMBERED:
+                self.runs.clear()
+            out = self.runs[run] = _encode(self.path, run)
+        return out
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = _tokenizer(self.path).encode(word.decode(), add_special_tokens=False).ids
-        out = np.asarray(ids, "<u4").tobytes()
+        text = word.decode()
+        m = LATIN.fullmatch(text) if len(text) <= 64 else None
+        if m:
+            out = self.of_run(m[1].lower()) + (self.of_run(m[2]) if m[2] else b"")
+        else:
+            out = _encode(self.path, text)
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -56,6 +77,12 @@ class WordIds(dict):
         return out
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One memory a Python worker, for all of its tasks."""
+    return WordIds(path)
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and end_id, cut only where longer than size.
 
@@ -69,7 +96,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
-        ids = WordIds(path)
+        ids = word_ids(path)
         for batch in batches:
             docs_, piece, start, length, crc = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
