@@ -6,21 +6,20 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship, table
+
+__all__ = ["SPACE", "connected", "fresh_path", "materialize", "release", "runs", "shared_dir", "table"]
 #: Characters that separate words, as a class for regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 _written: list[tuple[SparkSession, str]] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +38,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,10 +67,6 @@ if not os.environ.get("SPARK_EXECUTOR_ID"):
     atexit.register(_at_exit)
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Consecutive rows that agree in their first `keys` columns, from batches sorted by them."""
     held: list[tuple] = []
