@@ -23,6 +23,23 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.ceil(F.col("length") / block).cast("int").alias("blocks"))
 
 
+def load(spark: SparkSession, path: str, parse, block_bytes: int | None = None) -> DataFrame:
+    """Samples of the text files in path: a parser of this module, applied where the lines are read."""
+    return parse(read_lines(spark, path, block_bytes))
+
+
+def batches(df: DataFrame, size: int):
+    """Lists of `size` rows on the driver, the last one shorter; the next partition is fetched while one is consumed."""
+    held = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def split_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(keep..., line_no, line): the lines of a text column; an empty end after the last "\\n" is no line."""
     parts = F.split(F.col(text), "\n", -1)

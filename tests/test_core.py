@@ -167,6 +167,9 @@ def test_parsers(spark, tmp_path):
     assert rows(text.parse_nodes(text.read_lines(spark, str(tmp_path / "m")))) == [(0, "proj6", 62353), (1, "proj7", 62354)]
     (tmp_path / "l").write_bytes(b"a\r\nb\n\nc")
     assert sorted(r[0] for r in text.read_lines(spark, str(tmp_path / "l")).collect()) == ["", "a\r", "b", "c"]
+    (tmp_path / "r").write_text("1\t2\t5\n3\t4\t1\n7\t8\t2")
+    loaded = text.load(spark, str(tmp_path / "r"), text.parse_ratings)
+    assert rows(loaded) == [(1, 2, 5), (3, 4, 1), (7, 8, 2)] and [len(b) for b in text.batches(loaded, 2)] == [2, 1]
     assert text.list_files(spark, str(tmp_path / "l")).first()["blocks"] == 1
     urls = spark.createDataFrame([("hdfs://u:p@h:9001/a/b?x=1#f",), ("hdfs:///data",), ("nothing",)], "url string")
     got = {r["url"]: (r["valid"], r["host"], r["port"], r["path"], r["user"]) for r in text.parse_url(urls, "url", ["url"]).collect()}
