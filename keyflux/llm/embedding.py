@@ -215,3 +215,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     out = p.select("vec_id", "key").join(result, F.col("key") == F.col("key_"), "left")
     comp = F.when(F.col("vec_id").isNotNull(), F.coalesce("comp", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
+
+
+#: At this size of the tables SQL can compare all pairs.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS size FROM v),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id WHERE list_inner_product(p.x, q.x) / p.size / q.size >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON m.a = v.vec_id LEFT JOIN k ON k.a = v.vec_id
+"""

@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE, "op6_bm25_topk": search.ORACLE}
+    return {"op1_minhash_dedup": minhash.ORACLE, "op2_chat_format": chat.ORACLE, "op5_embedding_dedup": embedding.ORACLE, "op6_bm25_topk": search.ORACLE, "op7_warc": warc.ORACLE}

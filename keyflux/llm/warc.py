@@ -315,3 +315,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = fresh_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder), folder)
 
+
+#: Base 32 of a SHA-1: each five hexadecimal digits are four characters.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), q AS (SELECT page_id, html, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+d AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || h[5 * i + 1 : 5 * i + 5] AS INTEGER)) AS v FROM q)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1]), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d
+"""
