@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from hypothesis import given
@@ -51,7 +52,7 @@ def test_oracles(spark, name):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     a, b = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     cols = sorted(a.columns)
-    key = lambda d: sorted(map(tuple, d[cols].astype(object).values.tolist()), key=repr)
+    key = lambda d: sorted((tuple(None if pd.isna(x) else x for x in r) for r in d[cols].astype(object).values.tolist()), key=repr)
     assert cols == sorted(b.columns) and key(a) == key(b)
 
 
