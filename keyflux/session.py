@@ -18,9 +18,18 @@ def session(app: str = "keyflux", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+#: Rows of an Arrow batch: texts may be long, and a worker holds a batch several times over.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context: Python functions are found there by name."""
+    """Send this package to the executors, once a context: Python functions are found there by name.
+
+    Arrow batches are set to BATCH_ROWS rows where the session has Spark's default.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_keyflux_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
