@@ -25,7 +25,7 @@ from .common import materialize
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 4096
 #: Words whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 350_000
+REMEMBERED = 120_000
 #: Salted groups of one length hold about so many pieces.
 GROUP = 1_000
 #: Letters of Latin-1 that Unicode composes and lower-cases one by one, then marks other than apostrophes.
@@ -43,6 +43,16 @@ def _encode(path: str, text: str) -> bytes:
     return np.asarray(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def _alphabet() -> dict[int, str]:
+    """Bytes as the byte-level vocabulary writes them: printable ones of Latin-1 as themselves, the others numbered on from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+ALPHABET = _alphabet()
+
+
 class WordIds(dict):
     """Ids of a word between white space, as little-endian 32-bit bytes.
 
@@ -60,7 +70,10 @@ class WordIds(dict):
         if out is None:
             if len(self.runs) >= 2 * REMEMBERED:
                 self.runs.clear()
-            out = self.runs[run] = _encode(self.path, run)
+            # one run is one word to the model: nothing is left to normalize or to split
+            plain = run if run.isascii() else run.encode().decode("latin-1").translate(ALPHABET)
+            ids = [t.id for t in _tokenizer(self.path).model.tokenize(plain)]
+            out = self.runs[run] = np.asarray(ids, "<u4").tobytes()
         return out
 
     def __missing__(self, word: bytes) -> bytes:
@@ -97,7 +110,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end
 
     def work(batches):
         ids = word_ids(path)
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, len(b), 1000)):
             docs_, piece, start, length, crc = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = b"".join(map(ids.__getitem__, (text or "").encode().split())) + end
