@@ -29,8 +29,8 @@ import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,37 +58,50 @@ def uniform(seed: np.ndarray, draw: int) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def counted(trials: np.ndarray, q: np.ndarray, seed: np.ndarray, draw: int) -> np.ndarray:
+    """Successes of trials with chance q: one trial exactly, few successes by the Poisson, many by the normal law."""
+    u, mean = uniform(seed, 2 * draw), trials * q
+    normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(seed, 2 * draw + 1))
+    out = np.rint(mean + normal * np.sqrt(mean * (1 - q)))
+    few = np.flatnonzero((mean < 8) & (trials > 1))
+    if len(few):
+        k, term = np.zeros(len(few)), np.exp(-mean[few])
+        below = term.copy()
+        for i in range(1, 32):
+            more = u[few] > below
+            if not more.any():
+                break
+            k += more
+            term = term * mean[few] / i
+            below += term
+        out[few] = k
+    return np.where(trials == 1, u < q, np.clip(out, 0, trials))
+
+
 def seat(n: np.ndarray, p: np.ndarray, others: np.ndarray | float, discount: float, seed: np.ndarray) -> np.ndarray:
-    """Tables that n customers of each dish take, seated one by one.
+    """Tables that n customers of each dish take, seated in order.
 
     With i customers at t tables the next opens a table with odds
-    a = (STRENGTH + discount * (others + t)) * p to i - discount * t.  The first
-    8 + 2a customers are drawn singly.  Later ones are drawn up to the next new
-    table at once: none opens from i to m with probability
-    G(m - dt) G(i - dt + a) / (G(m - dt + a) G(i - dt)), which is
-    ((i - dt + h) / (m - dt + h)) ** a with h = (a - 1) / 2 up to the square of
-    1 / i, and has an inverse.
+    (STRENGTH + discount * (others + t)) * p to i - discount * t.  The first
+    eight are seated singly, later ones an eighth of the seated at a time, for
+    whom the odds hardly change; a dish takes some 9 ln(n) draws, whatever it
+    holds.
     """
-    t = np.ones(len(n), np.int64)
+    t = np.ones(len(n), np.float64)
     at = np.flatnonzero(n > 1)
     i, total = np.ones(len(at)), n[at].astype(np.float64)
     others = np.broadcast_to(np.asarray(others, np.float64), n.shape)
     draw = 0
     while len(at):
-        now = t[at]
-        a, left = (STRENGTH + discount * (others[at] + now)) * p[at], i - discount * now
-        u = uniform(seed[at], draw)
-        single = i <= 8 + 2 * a
-        h = (a - 1) / 2
-        with np.errstate(over="ignore", divide="ignore"):
-            jump = np.maximum(i + 1, np.ceil((left + h) * u ** (-1 / a) - h + discount * now))
-        opens = np.where(single, u < a / (a + left), jump <= total)
-        i = np.where(single, i + 1, np.minimum(jump, total))
-        t[at] += opens
+        step = np.minimum(np.maximum(1, np.floor(i / 8)), total - i)
+        a = (STRENGTH + discount * (others[at] + t[at])) * p[at]
+        new = counted(step, a / (a + i + step / 2 - 0.5 - discount * t[at]), seed[at], draw)
+        t[at] += new
+        i += step
         keep = i < total
         at, i, total = at[keep], i[keep], total[keep]
         draw += 1
-    return np.minimum(t, n)
+    return t.astype(np.int64)
 
 
 # --- spelling tree -----------------------------------------------------------
@@ -109,8 +122,8 @@ class Spelling:
         return np.add.reduceat(self.p[self.row[contexts], symbols], starts) if len(starts) else np.empty(0)
 
 
-def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and symbol of every byte of the words (binary) and of their ends, and where each word starts."""
+def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Context and symbol of every byte of the words (binary) and of their ends; where each word starts, and a hash of it."""
     offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
     data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
     n = np.diff(offsets) + 1
@@ -130,7 +143,8 @@ def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return out
 
     contexts = (back(1) << 8) | ((back(2) & 31) << 3) | (back(3) & 7)
-    return contexts, symbols, starts
+    hashes = np.add.reduceat(spread(place.astype(np.uint64) + _U(1)) * (symbols.astype(np.uint64) + _U(1)), starts) if len(n) else np.empty(0, np.uint64)
+    return contexts, symbols, starts, hashes
 
 
 def _discount(n: np.ndarray) -> float:
@@ -244,10 +258,6 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held")).mapInArrow(work, schema)
 
 
-def _seeds(words: pa.Array, sweep: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, sweep) for w in words.to_pylist()), np.uint64, len(words))
-
-
 @dataclass(frozen=True)
 class State:
     """Of one sweep: the spelling model it used and the tables it gave."""
@@ -260,15 +270,15 @@ class State:
 
     def seated(self, words: pa.Array, c: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tables, spelling probability, contexts, symbols) of words with c customers."""
-        contexts, symbols, starts = spell(words)
+        contexts, symbols, starts, hashes = spell(words)
         p = np.exp(self.spelling.log_p(contexts, symbols, starts))
         t = np.zeros(len(c), np.int64)
         at = np.flatnonzero(c > 0)
-        t[at] = seat(c[at], p[at], np.maximum(self.before - 1, 0), discount, _seeds(words, self.sweep)[at])
+        t[at] = seat(c[at], p[at], np.maximum(self.before - 1, 0), discount, spread(hashes[at] + _U(self.sweep)))
         return t, p, contexts, symbols
 
 
-def _gathered(batches, rows: int = 300_000):
+def _gathered(batches, rows: int = 150_000):
     """Batches joined to about so many rows: the seating loop costs the same for many dishes as for few."""
     held, n = [], 0
     for batch in batches:
@@ -298,7 +308,7 @@ def _sweep(vocabulary: DataFrame, state: State, discount: float) -> tuple[np.nda
             total, inside = total + int(t.sum()), inside + float(p.sum())
             stops = np.flatnonzero(symbols == 256)
             weight = np.repeat(t, np.diff(np.concatenate([[-1], stops])))
-            cells, back = np.unique(contexts.astype(np.int64) * SYMBOLS + symbols, return_inverse=True)
+            back, cells = pd.factorize(contexts.astype(np.int64) * SYMBOLS + symbols)
             held.append((cells, np.bincount(back, weight)))
             size += len(cells)
             if size > 4_000_000:
