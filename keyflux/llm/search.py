@@ -21,7 +21,7 @@ from .common import materialize
 from .minhash import WordHashes
 
 K1, B, DIGITS = 1.2, 0.75, 6
-SHARD_TOKENS = 5_000_000
+SHARD_TOKENS = 3_000_000
 #: Documents of a block.
 BLOCK = 64
 #: Bounds are compared with so much slack, for rounding.
@@ -52,7 +52,7 @@ def _frequencies(docs: DataFrame) -> DataFrame:
                 n += len(terms)
                 docs_ += 1
                 tokens += int(tf.sum())
-                if n > 8_000_000:
+                if n > 2_000_000:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -77,12 +77,16 @@ class Shard:
         length = np.array([tf.sum() for _, tf in self.parts], np.float64)
         terms = np.concatenate([t for t, _ in self.parts]) if self.parts else np.empty(0, np.uint64)
         tf = np.concatenate([f for _, f in self.parts]) if self.parts else np.empty(0, np.int32)
-        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.parts = []
         order = np.argsort(terms, kind="stable")
-        terms, tf, self.doc = terms[order], tf[order].astype(np.float64), doc[order]
+        terms, tf = terms[order], tf[order].astype(np.float64)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+        del order
         norm = K1 * (1 - B + B * length / max(self.average, 1e-300))
-        self.value = tf * (K1 + 1) / (tf + norm[self.doc])
+        self.value = tf * (K1 + 1)
+        tf += norm[self.doc]
+        self.value /= tf
+        del tf
         cut = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, np.int64)
         self.terms, self.start = terms[cut], np.concatenate([cut, [len(terms)]])
         # a run is the postings of one term in one block of documents
@@ -104,6 +108,11 @@ class Shard:
         which = np.repeat(np.arange(len(n)), n)
         return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n), which
 
+    def _add(self, score: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        """Add whole lists to the scores."""
+        i, which = self._ranges(self.start[at], self.start[at + 1])
+        score += np.bincount(self.doc[i], self.value[i] * w[which], len(score))
+
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The k best (position, score), exactly: by falling score, then position."""
         n = len(self.ids)
@@ -122,10 +131,9 @@ class Shard:
         done, score, floor, step, reach = 0, np.zeros(n), 0.0, max(4096, n // 4), np.cumsum(size)
         # essential lists, strongest first, until the others together can't lift a document over the k-th score found
         while done < len(at):
-            stop = max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + step, "right")))
-            i, which = self._ranges(self.start[at[done:stop]], self.start[at[done:stop] + 1])
-            score += np.bincount(self.doc[i], self.value[i] * w[done:stop][which], n)
-            done, step = min(stop, len(at)), step * 2
+            stop = min(len(at), max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + step, "right"))))
+            self._add(score, at[done:stop], w[done:stop])
+            done, step = stop, step * 2
             if n > k:
                 floor = float(np.partition(score, n - k)[n - k])
             if floor > 0 and rest[done - 1] < floor - SLACK:
@@ -133,16 +141,21 @@ class Shard:
         alive = np.flatnonzero((score > 0) & (score + rest[done - 1] >= floor - SLACK))
         if done < len(at) and len(alive):
             # what the other lists can add in each block of documents
-            runs, which = self._ranges(self.run_start[at[done:]], self.run_start[at[done:] + 1])
-            wide = np.bincount(self.run_block[runs], self.run_max[runs] * w[done:][which], n // BLOCK + 1)
+            wide = np.zeros(n // BLOCK + 1)
+            for t, x in zip(at[done:].tolist(), w[done:].tolist()):
+                part = slice(self.run_start[t], self.run_start[t + 1])
+                wide[self.run_block[part]] += x * self.run_max[part]
             alive = alive[score[alive] + wide[alive // BLOCK] >= floor - SLACK]
-            # their postings are read only in blocks that still hold a candidate
             wanted = np.zeros(n // BLOCK + 1, bool)
             wanted[alive // BLOCK] = True
-            keep = wanted[self.run_block[runs]]
-            runs, which = runs[keep], which[keep]
-            i, of = self._ranges(self.run[runs], self.run[runs + 1])
-            score += np.bincount(self.doc[i], self.value[i] * w[done:][which][of], n)
+            if 4 * int(wanted.sum()) > len(wanted):
+                self._add(score, at[done:], w[done:])
+            else:  # postings are read only in blocks that still hold a candidate
+                runs, which = self._ranges(self.run_start[at[done:]], self.run_start[at[done:] + 1])
+                keep = wanted[self.run_block[runs]]
+                runs, which = runs[keep], which[keep]
+                i, of = self._ranges(self.run[runs], self.run[runs + 1])
+                score += np.bincount(self.doc[i], self.value[i] * w[done:][which][of], n)
         final = np.round(score[alive], DIGITS)
         best = np.lexsort((alive, -final))[:k]
         return [(int(alive[b]), float(final[b])) for b in best if final[b] > 0]
