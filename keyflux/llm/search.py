@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -193,7 +193,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def work(batches):
         now, shard, sealed, known = None, None, False, WordHashes()
         for batch in batches:
-            out: list[tuple] = []
+            asked, ids, scores = [], [], []
             text = batch.column(3)
             for r, (number, kind, id_) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 if number != now:
@@ -206,13 +206,36 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     sealed = True
                 term = np.asarray(batch.column(4)[r].values).view(np.uint64)
                 df = np.asarray(batch.column(5)[r].values, np.float64)
-                out += [(id_, shard.ids[p], s) for p, s in shard.top(term, np.log1p((n - df + 0.5) / (df + 0.5)), k)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
-
-    found = both.mapInArrow(work, "query_id long, doc_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+                best = shard.top(term, np.log1p((n - df + 0.5) / (df + 0.5)), k)
+                if best:
+                    asked.append(id_), ids.append([shard.ids[p] for p, _ in best]), scores.append([s for _, s in best])
+            if asked:
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+
+    def merge(batches):
+        """The k best of each query's shards, which come one after the other; only k are held."""
+        now, best, done = None, [], []
+        for batch in batches:
+            for query, ids, scores in zip(*(c.to_pylist() for c in batch.columns)):
+                if query != now:
+                    done += [(now, i + 1, d, -s) for i, (s, _, d) in enumerate(best)]
+                    now, best = query, []
+                # null ids last; two of them are alike
+                best = sorted([*best, *((-s, d is None, d) for s, d in zip(scores, ids))], key=lambda x: (x[0], x[1], x[2] or 0))[:k]
+            if done:
+                yield _ranked(done)
+                done = []
+        if best:
+            yield _ranked([(now, i + 1, d, -s) for i, (s, _, d) in enumerate(best)])
+
+    # a row per query and shard
+    found = both.mapInArrow(work, "query_id long, ids array<long>, scores array<double>")
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, doc_id long, score double")
+
+
+def _ranked(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["query_id", "rank", "doc_id", "score"])
 
 
 #: At this size of the tables SQL can score all pairs.
