@@ -27,7 +27,7 @@ BANDS, PER_BAND = 28, 2
 BLOCK = 512
 #: A table of ids is broadcast up to so many rows (of 8 bytes), joined by exchange beyond.
 BROADCAST_ROWS = 400_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(0, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * _U(2) + _U(1)
