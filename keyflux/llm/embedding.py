@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,12 +66,18 @@ def codes(x: np.ndarray, tables: int, hashes: int, probes: int = PROBES) -> np.n
     return out
 
 
-def _unit(values: list[list[float]]) -> np.ndarray:
-    x = np.asarray(values, np.float64)
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length, in double precision, at length 1."""
+    x = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    """Floats travel as they are, at half the size; all else as doubles."""
+    return "array<float>" if df.schema[column].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def _prepared(vectors: DataFrame) -> DataFrame:
     """(vec_id, v, key): key is a 128-bit hash of the vector, null where it can't be compared."""
 
@@ -86,7 +93,8 @@ def _prepared(vectors: DataFrame) -> DataFrame:
                 keys.append(key)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["vec_id", "v", "key"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(work, "vec_id long, v array<double>, key binary")
+    kind = _kind(vectors, "embedding")
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v")).mapInArrow(work, f"vec_id long, v {kind}, key binary")
 
 
 def _visits(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
@@ -95,16 +103,15 @@ def _visits(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             for piece in (batch.slice(a, 2000) for a in range(0, len(batch), 2000)):
-                vs = piece.column(3).to_pylist()
-                dims = np.array([len(v) for v in vs])
+                dims = pc.list_value_length(piece.column(3)).to_numpy()
                 for d in np.unique(dims):
                     at = np.flatnonzero(dims == d)
-                    c = codes(_unit([vs[i] for i in at]), tables, hashes)
+                    c = codes(_unit(piece.column(3).take(pa.array(at))), tables, hashes)
                     row, t, p = np.nonzero(c >= 0)
                     rows = piece.take(pa.array(at[row]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), d, np.int32)), pa.array(t.astype(np.int32)), pa.array(c[row, t, p]), pa.array(p == 0), *rows.columns], names=["dim", "t", "bucket", "home", "key", "id", "copies", "v"])
 
-    return classes.select("key", "id", "copies", "v").mapInArrow(work, "dim int, t int, bucket long, home boolean, key binary, id long, copies long, v array<double>")
+    return classes.select("key", "id", "copies", "v").mapInArrow(work, "dim int, t int, bucket long, home boolean, key binary, id long, copies long, v " + _kind(classes, "v"))
 
 
 def _block(dim, t, bucket, bi, bj, home, block, copies, x, threshold, tables, hashes):
@@ -182,7 +189,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
         def finish():
             cols = pa.Table.from_batches(held).combine_chunks()
-            x = _unit(cols["v"].to_pylist())
+            x = _unit(cols["v"].combine_chunks())
             copies = cols["copies"].to_numpy()
             links, label = _block(*now, cols["home"].to_numpy(zero_copy_only=False), cols["block"].to_numpy(), copies, x, threshold, tables, hashes)
             at = np.flatnonzero(links)
