@@ -1,37 +1,43 @@
 """Hierarchical Pitman-Yor language model, fitted by Gibbs sweeps over the whole corpus.
 
-Words (what ASCII white space separates, A-Z lower-cased) and one end a text
-are customers of a word restaurant, whose base is a spelling model: a tree of
-context restaurants over the bytes of a word.  A context is the three bytes
-before, folded to 8 + 5 + 3 bits; the parent of a context drops its earliest
-byte, so contexts share parents, down to the empty context, whose base is
-uniform over 256 bytes and the end of a word.  Every table of the word
-restaurant sends its spelling to the tree as customers, every table of a
-context one to its parent.
+Words (what ASCII white space separates, A-Z lower-cased) are customers of the
+restaurant of the word before them (a text's first word, of the restaurant of
+the empty word).  Every table of a context restaurant sends its word as a
+customer to the word restaurant, the parent that all contexts share.  Its base
+is a spelling model: a tree of context restaurants over the bytes of a word.  A
+spelling context is the three bytes before, folded to 8 + 5 + 3 bits; its
+parent drops its earliest byte, so contexts share parents, down to the empty
+context, whose base is uniform over 256 bytes and the end of a word.  Every
+table of the word restaurant sends its spelling to the tree as customers, every
+table of a spelling context one to its parent.  Whether a text ends after a
+token does not depend on the token: ends have one probability.
 
 A sweep unseats all customers of each dish and seats them again one after the
 other by the Chinese-restaurant rule, given the tables of all other dishes and
 the parent's predictive probabilities; jumping from one new table to the next
 makes its cost the number of tables, not of customers.  Dishes are resampled in
-parallel given the last sweep's totals.  Predictive probabilities are averaged
-over the sweeps after burn-in.
-
-The corpus is encoded once, in chunks with a vocabulary each.  Counts go
-through an exchange by word, probabilities back by chunk; only the folded
-spelling tree (at most 65,536 contexts of 257 symbols) reaches the driver and
-is broadcast.
+parallel given the last sweep's totals.  A pair of words that occurs once has
+one table whatever the sweep, so only pairs that occur again are reseated.
+Tables and predictive probabilities are averaged over the sweeps after burn-in.
+
+The corpus is encoded once, in chunks with a vocabulary each.  Counts of words
+and of pairs go through an exchange by hash, probabilities back by chunk; a
+pair that occurs once is not sent back to the chunk that has it.  Only the
+folded spelling tree (at most 65,536 contexts of 257 symbols) reaches the
+driver and is broadcast.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -216,30 +222,61 @@ class Tree:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds, by chunk: 0, a word of its vocabulary (i, word, n in training texts); 1, a text (doc_id, held, its words' numbers)."""
-    schema = "chunk long, kind int, i int, word binary, n long, doc_id long, held boolean, tokens binary"
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    """Rows of three kinds, by chunk.
+
+    0, a word of its vocabulary (i, word, its hash hw, n in training texts, m of them before another word; 0 is the empty
+    word, which is before each text); 1, a pair of words (i before j, hashes hu and hw, n in training texts, whether in
+    others too); 2, a text (doc_id, held, its words' numbers).
+    """
+    schema = "chunk long, kind int, i int, j int, word binary, hu long, hw long, n long, m long, doc_id long, held boolean, tokens binary"
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches):
-        def batch_of(m, **cols):
-            return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(m, k) for c, k in zip(names, kinds)], names=names)
+        def batch_of(size, kind, **cols):
+            cols |= {"chunk": np.full(size, chunk), "kind": np.full(size, kind, np.int32)}
+            return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(size, k) for c, k in zip(names, kinds)], names=names)
 
         class Numbers(dict):
             def __missing__(self, word):
                 self[word] = len(self)
                 return len(self) - 1
 
-        def vocabulary():
-            n = np.zeros(len(numbers), np.int64)
-            for h, tokens in counted:
-                if not h:
-                    n += np.bincount(tokens, minlength=len(numbers))
-            for a in range(0, len(numbers), 50_000):
-                part = words[a : a + 50_000]
-                yield batch_of(len(part), chunk=np.full(len(part), chunk), kind=np.zeros(len(part), np.int32), i=np.arange(a, a + len(part), dtype=np.int32), word=part, n=n[a : a + len(part)])
-
-        chunk, numbers, counted, total = uuid.uuid4().int >> 65, Numbers(), [], 0
+        def counts():
+            words = list(numbers)
+            size = len(words)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, size).view(np.int64)
+            held, tokens = np.array([h for h, _ in counted], bool), [t for _, t in counted]
+            counted.clear()
+            many = np.array([len(t) for t in tokens], np.int64)
+            now = np.concatenate([np.empty(0, np.int32), *tokens])
+            del tokens
+            learned = ~np.repeat(held, many)
+            n = np.bincount(now[learned], minlength=size)
+            pair = np.empty(len(now), np.int64)
+            pair[1:] = now[:-1]
+            pair[(np.cumsum(many) - many)[many > 0]] = 0
+            pair *= size
+            pair += now
+            pair *= 2
+            pair += learned
+            del now, learned
+            pair.sort()
+            cut = np.flatnonzero(np.concatenate([[True], pair[1:] >> 1 != pair[:-1] >> 1])) if len(pair) else np.empty(0, np.int64)
+            count = np.add.reduceat(pair & 1, cut) if len(cut) else cut
+            other = np.diff(np.append(cut, len(pair))) > count
+            pair = pair[cut] >> 1
+            before, after = pair // size, pair % size
+            m = np.bincount(before, count, minlength=size).astype(np.int64)
+            for a in range(0, size, 50_000):
+                part = slice(a, a + 50_000)
+                yield batch_of(len(words[part]), 0, i=np.arange(a, min(size, a + 50_000)), word=words[part], hw=hashes[part], n=n[part], m=m[part])
+            for a in range(0, len(pair), 50_000):
+                part = slice(a, a + 50_000)
+                i, j = before[part], after[part]
+                yield batch_of(len(i), 1, i=i, j=j, hu=hashes[i], hw=hashes[j], n=count[part], held=other[part])
+
+        chunk, numbers, counted, total = uuid.uuid4().int >> 65, Numbers({b"": 0}), [], 0
         for batch in batches:
             ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a in range(0, len(ids), 500):
@@ -247,34 +284,31 @@ def encode(docs: DataFrame) -> DataFrame:
                 tokens = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in ((t or "").encode().lower().split() for t in texts)]
                 counted += zip(held[a : a + 500], tokens)
                 total += sum(map(len, tokens))
-                yield batch_of(len(tokens), chunk=[chunk] * len(tokens), kind=[1] * len(tokens), doc_id=ids[a : a + 500], held=held[a : a + 500], tokens=[t.tobytes() for t in tokens])
+                yield batch_of(len(tokens), 2, doc_id=ids[a : a + 500], held=held[a : a + 500], tokens=[t.tobytes() for t in tokens])
                 if total >= CHUNK_TOKENS:
-                    words = list(numbers)
-                    yield from vocabulary()
-                    chunk, numbers, counted, total = uuid.uuid4().int >> 65, Numbers(), [], 0
-        words = list(numbers)
-        yield from vocabulary()
+                    yield from counts()
+                    chunk, numbers, counted, total = uuid.uuid4().int >> 65, Numbers({b"": 0}), [], 0
+        yield from counts()
 
     return docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held")).mapInArrow(work, schema)
 
 
 @dataclass(frozen=True)
 class State:
-    """Of one sweep: the spelling model it used and the tables it gave."""
+    """What a sweep of the word restaurant starts from."""
 
     spelling: Spelling
-    before: float  # tables in the word restaurant when the sweep began
+    before: float  # tables in the word restaurant
     sweep: int
-    tables: float = 0.0  # that it gave
-    outside: float = 1.0  # spelling probability of all words that are not in the vocabulary
 
-    def seated(self, words: pa.Array, c: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tables, spelling probability, contexts, symbols) of words with c customers."""
-        contexts, symbols, starts, hashes = spell(words)
-        p = np.exp(self.spelling.log_p(contexts, symbols, starts))
+    def seated(self, words: pa.Array, hashes: np.ndarray, c: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tables, spelling probability among words that aren't empty, contexts, symbols) of words with c customers."""
+        contexts, symbols, starts, _ = spell(words)
+        empty = math.exp(self.spelling.p[self.spelling.row[0], SYMBOLS - 1])
+        p = np.exp(self.spelling.log_p(contexts, symbols, starts).astype(np.float64)) / (1 - empty)
         t = np.zeros(len(c), np.int64)
         at = np.flatnonzero(c > 0)
-        t[at] = seat(c[at], p[at], np.maximum(self.before - 1, 0), discount, spread(hashes[at] + _U(self.sweep)))
+        t[at] = seat(c[at], p[at], np.maximum(self.before - 1, 0), discount, spread(hashes[at].view(np.uint64) + _U(self.sweep)))
         return t, p, contexts, symbols
 
 
@@ -291,40 +325,59 @@ def _gathered(batches, rows: int = 150_000):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _sweep(vocabulary: DataFrame, state: State, discount: float) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """One pass over the word types: the spelling tree's leaf customers (cells, n), all tables, and the words' spelling probability."""
-    packed = vocabulary.sparkSession.sparkContext.broadcast(state)
+def _seat_words(words: DataFrame, state: State, discount: float) -> DataFrame:
+    """One pass over (hw, word, c): a row per word (hw, c, its tables t, its spelling probability), and (cell, t) of the spelling tree's leaf customers."""
+    packed = words.sparkSession.sparkContext.broadcast(state)
+    names = ["hw", "c", "t", "spelled", "cell"]
 
     def work(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        total, size, inside = 0, 0, 0.0
+        size = 0
 
         def merged():
             cells, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
             return cells, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
 
         for part in _gathered(batches):
-            t, p, contexts, symbols = packed.value.seated(part.column(0), part.column(1).to_numpy(), discount)
-            total, inside = total + int(t.sum()), inside + float(p.sum())
-            stops = np.flatnonzero(symbols == 256)
-            weight = np.repeat(t, np.diff(np.concatenate([[-1], stops])))
+            c = part.column(2).to_numpy()
+            t, p, contexts, symbols = packed.value.seated(part.column(1), part.column(0).to_numpy(), c, discount)
+            for a in range(0, len(c), 20_000):
+                some = part.slice(a, 20_000)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(t[a : a + 20_000]), pa.array(p[a : a + 20_000]), pa.nulls(len(some), pa.int64())], names=names)
+            weight = np.repeat(t, np.diff(np.concatenate([[-1], np.flatnonzero(symbols == SYMBOLS - 1)])))
             back, cells = pd.factorize(contexts.astype(np.int64) * SYMBOLS + symbols)
             held.append((cells, np.bincount(back, weight)))
             size += len(cells)
             if size > 4_000_000:
                 held[:] = [merged()]
                 size = len(held[0][0])
-        cells, n = merged() if held else (np.empty(0, np.int64), np.empty(0, np.int64))
-        share = np.zeros(len(cells) + 1)
-        share[-1] = inside
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), pa.array(np.append(n, total)), pa.array(share)], names=["cell", "n", "inside"])
+        if held:
+            cells, n = merged()
+            cells, n = cells[n > 0], n[n > 0]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(n), pa.nulls(len(n), pa.float64()), pa.array(cells)], names=names)
 
-    found = vocabulary.mapInArrow(work, "cell long, n long, inside double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).toArrow()
-    packed.unpersist()
-    cells, n = found["cell"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(cells)  # -1, the totals, comes first
-    cells, n, inside = cells[order], n[order], float(found["inside"].to_numpy()[order[0]])
-    return cells[1:][n[1:] > 0], n[1:][n[1:] > 0], float(n[0]), inside
+    return words.select("hw", "word", "c").mapInArrow(work, "hw long, c long, t long, spelled double, cell long")
+
+
+def _seat_pairs(pairs: DataFrame, discount: float, sweep: int, kept: bool) -> DataFrame:
+    """(hu, hw, g, t, kept) with new tables, from (hu, hw, g, t, kept, p, tables): g customers, t of the context's tables, and the word's probability p."""
+
+    def work(batches):
+        for part in _gathered(batches):
+            hu, hw, g, t, before, p, tables = (c.to_numpy() for c in part.columns)
+            with np.errstate(over="ignore"):
+                seed = spread(spread(hu.view(np.uint64)) + hw.view(np.uint64) + _U(sweep * 7919))
+            new = seat(g, p, np.maximum(tables - t, 0).astype(np.float64), discount, seed)
+            out = [part.column(0), part.column(1), part.column(2), pa.array(new), pa.array(before + new if kept else before)]
+            for a in range(0, len(new), 20_000):
+                yield pa.RecordBatch.from_arrays([c.slice(a, 20_000) for c in out], names=["hu", "hw", "g", "t", "kept"])
+
+    return pairs.select("hu", "hw", "g", "t", "kept", "p", "tables").mapInArrow(work, "hu long, hw long, g long, t long, kept long")
+
+
+def _discount_of(df: DataFrame, c: str) -> float:
+    one, two = (x or 0 for x in df.agg(F.sum((F.col(c) == 1).cast("long")), F.sum((F.col(c) == 2).cast("long"))).first())
+    return min(0.9, max(0.1, one / (one + 2 * two))) if one else 0.5
 
 
 def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int = 11) -> DataFrame:
@@ -332,71 +385,108 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int =
 
     Learns from the rows that aren't held out; null and empty texts are their
     end alone; repeated rows count each time; a null doc_id is not held out.
-    Without training texts every probability comes from the uniform spelling
-    base.  An empty table gives no rows; other columns are ignored.
+    Without training texts all words are one event, unknown.  An empty table
+    gives no rows; other columns are ignored.
     """
     code = materialize(encode(docs), "lm-corpus")
-    words = code.filter("kind = 0").select("chunk", "i", "word", "n")
-    texts = code.filter("kind = 1").select("chunk", "doc_id", "held", "tokens")
+    words = code.filter("kind = 0").select("chunk", "i", "word", "hw", "n", "m")
+    texts = code.filter("kind = 2").select("chunk", "doc_id", "held", "tokens")
     ends = texts.filter("not held").count()
-    end = docs.sparkSession.range(1).select(F.lit(b"").alias("word"), F.lit(ends).cast("long").alias("c"))  # the end of a text is the empty word
-    vocabulary = materialize(words.groupBy("word").agg(F.sum("n").alias("c")).union(end), "lm-vocabulary")
-    known = vocabulary.filter("c > 0")
-    n, v, one, two = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("c") == 2).cast("long")), F.lit(0))).first()
-    discount = min(0.9, max(0.1, one / (one + 2 * two))) if one else 0.5
-    tree, states = Tree(seed), []
-    state = State(Spelling.uniform(), float(v), seed)
-    for s in range(burn_in + kept if n else 0):
-        cells, customers, tables, inside = _sweep(known, state, discount)
-        if s >= burn_in:
-            states.append(replace(state, tables=tables, outside=max(1e-12, 1 - inside)))
-        state = State(tree.sweep(cells, customers), tables, seed + s + 1)
-    if not states:
-        states = [state]
-    packed = docs.sparkSession.sparkContext.broadcast(states)
-
-    def predictive(batches):
-        for part in _gathered(batches):
-            c = part.column(1).to_numpy()
-            p = np.zeros(len(c))
-            for st in packed.value:
-                t, spelled, _, _ = st.seated(part.column(0), c, discount)
-                spelled = np.where(c > 0, spelled, st.outside)
-                p += (c - discount * t + (STRENGTH + discount * st.tables) * spelled) / (STRENGTH + n)
-            logp = np.log10(np.maximum(p / len(packed.value), 1e-300))
-            for a in range(0, len(logp), 20_000):
-                some = part.slice(a, 20_000)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(logp[a : a + 20_000])], names=["word", "c", "logp"])
-
-    model = materialize(vocabulary.mapInArrow(predictive, "word binary, c long, logp double"), "lm-model")
-    end_logp = model.filter(F.length("word") == 0).first()["logp"]
-    back = words.select("chunk", "i", "word").join(model, "word").select("chunk", F.lit(0).alias("kind"), "i", "c", "logp", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("binary").alias("tokens"))
-    both = back.unionByName(texts.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("logp"), "doc_id", "held", "tokens"))
-    both = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    # every pair of a chunk, with its count in all chunks; a group has a row a chunk at most
+    found = code.filter("kind = 1").select("chunk", "i", "j", "hu", "hw", "n", "held").withColumn("g", F.sum("n").over(Window.partitionBy("hu", "hw")))
+    found = materialize(found.filter("g > 0"), "lm-pairs")
+    trained = found.filter("n > 0")
+    once = trained.filter("g = 1")
+    again = materialize(trained.filter("g > 1").groupBy("hu", "hw").agg(F.first("g").alias("g")).select("hu", "hw", "g", F.lit(1).cast("long").alias("t"), F.lit(0 if burn_in else 1).cast("long").alias("kept")), "lm-again")
+    singles, pairs_two = once.count(), again.filter("g = 2").count()
+    d_pair = min(0.9, max(0.1, singles / (singles + 2 * pairs_two))) if singles else 0.5
+    alone = once.select(F.explode(F.array(F.struct(F.col("hw").alias("h"), F.lit(1).alias("as_word")), F.struct(F.col("hu").alias("h"), F.lit(0).alias("as_word")))).alias("x")).groupBy("x.h").agg(F.sum("x.as_word").alias("ones_as_word"), F.sum(1 - F.col("x.as_word")).alias("ones_as_context"))
+    vocabulary = words.groupBy("word", "hw").agg(F.sum("n").alias("seen"), F.sum("m").alias("m")).join(alone, F.col("hw") == F.col("h"), "left")
+    vocabulary = materialize(vocabulary.select("hw", "word", "seen", "m", F.coalesce("ones_as_word", F.lit(0)).alias("ones_as_word"), F.coalesce("ones_as_context", F.lit(0)).alias("ones_as_context")), "lm-vocabulary")
+    n, v = vocabulary.filter("seen > 0").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count("*")).first()
+    n, v = n + ends, v + int(ends > 0)  # the end of a text counts as a word
+
+    def customers(pairs: DataFrame) -> DataFrame:
+        """(hw, word, c): tables of all contexts, which are the word restaurant's customers."""
+        more = pairs.groupBy("hw").agg(F.sum("t").alias("more"))
+        return vocabulary.join(more, "hw", "left").select("hw", "word", (F.col("ones_as_word") + F.coalesce("more", F.lit(0))).alias("c"))
+
+    d_word = _discount_of(customers(again), "c")
+    tree, state, probable = Tree(seed), State(Spelling.uniform(), float(v), seed), []
+    sweeps = burn_in + kept if n > ends else 1
+    for s in range(sweeps):
+        seats = materialize(_seat_words(customers(again), state, d_word), f"lm-words-{s}")
+        seated = seats.filter("cell is null")
+        c, tables, inside = (x or 0 for x in seated.agg(F.sum("c"), F.sum("t"), F.sum(F.when(F.col("c") > 0, F.col("spelled")))).first())
+        spelled = F.when(F.col("c") > 0, F.col("spelled")).otherwise(max(1e-12, 1 - inside))
+        p = seated.select("hw", ((F.col("c") - d_word * F.col("t") + (STRENGTH + d_word * tables) * spelled) / (STRENGTH + c)).alias("p"))
+        if s >= burn_in or sweeps == 1:
+            probable.append(p)
+        if s + 1 == sweeps:
+            break
+        leaves = seats.filter("cell is not null").groupBy("cell").agg(F.sum("t").alias("t")).toArrow().sort_by("cell")
+        state = State(tree.sweep(leaves["cell"].to_numpy(), leaves["t"].to_numpy()), float(tables), seed + s + 1)
+        of_context = again.groupBy("hu").agg(F.sum("t").alias("more")).join(vocabulary.select(F.col("hw").alias("hu"), "ones_as_context"), "hu").select("hu", (F.col("more") + F.col("ones_as_context")).alias("tables"))
+        again = materialize(_seat_pairs(again.join(p, "hw").join(of_context, "hu"), d_pair, seed + s, s + 1 >= burn_in), f"lm-again-{s}")
+
+    # averages over the sweeps kept: a word's probability, a context's share of new tables, a pair's customers beyond the discount
+    mean = probable[0]
+    for p in probable[1:]:
+        mean = mean.union(p)
+    room = again.groupBy("hu").agg((F.sum("kept") / len(probable)).alias("more"))
+    model = vocabulary.join(mean.groupBy("hw").agg(F.avg("p").alias("p")), "hw").join(room.withColumnRenamed("hu", "hw"), "hw", "left")
+    model = model.select("hw", F.col("seen").alias("c"), "m", "p", ((STRENGTH + d_pair * (F.col("ones_as_context") + F.coalesce("more", F.lit(0)))) / (STRENGTH + F.col("m"))).alias("a"))
+    lower = again.select("hu", "hw", (F.col("kept") / len(probable)).alias("t"))
+    # what a chunk can't tell from its own texts
+    back = found.filter("g > 1 or n = 0 or held").join(lower, ["hu", "hw"], "left").select("chunk", F.lit(1).alias("kind"), "i", "j", (F.col("g") - d_pair * F.coalesce("t", F.lit(1.0))).alias("p"))
+    known = words.select("chunk", "i", "hw").join(model, "hw").select("chunk", F.lit(0).alias("kind"), "i", F.col("c").alias("c"), F.col("m"), "p", "a")
+    both = known.unionByName(back, allowMissingColumns=True).unionByName(texts.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    both = both.select("chunk", "kind", "i", "j", "c", "m", "p", "a", "doc_id", "held", "tokens").repartition("chunk").sortWithinPartitions("chunk", "kind")
     space = n + 0.5 * (v + 1)
     end_base, end_known = math.log10((ends + 0.5) / space), int(ends > 0)
+    end = (ends + STRENGTH / SYMBOLS) / (n + STRENGTH)
+    end_score, go_on = math.log10(end), math.log10(1 - end)
 
     def work(batches):
-        now, parts, logp, c = None, [], None, None
+        now, parts, pairs, ready = None, [], [], False
         for batch in batches:
             chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1), len(chunk)] if len(chunk) else [0]
             for a, b in zip(cuts, cuts[1:]):
                 if chunk[a] != now:
-                    now, parts, logp = chunk[a], [], None
-                if kind[a] == 0:
-                    parts.append(tuple(batch.column(k).slice(a, b - a).to_numpy() for k in (2, 3, 4)))
+                    now, parts, pairs, ready = chunk[a], [], [], False
+                if kind[a] < 2:
+                    (parts, pairs)[kind[a]].append(tuple(batch.column(k).slice(a, b - a).to_numpy() for k in ((2, 4, 5, 6, 7), (2, 3, 6))[kind[a]]))
                     continue
-                if logp is None:
-                    size = 1 + max((int(p[0].max()) for p in parts), default=-1)
-                    logp, c = np.zeros(size), np.zeros(size, np.int64)
-                    for i, c_, l_ in parts:
-                        logp[i], c[i] = l_, c_
-                    parts = []
-                    base, seen = np.log10((c + 0.5) / space), c > 0
-                tokens = [np.frombuffer(t, np.int32) for t in batch.column(7).slice(a, b - a).to_pylist()]
-                out = [(len(t) + 1, int(seen[t].sum()) + end_known, n, float(base[t].sum()) + end_base, float(logp[t].sum()) + end_logp) for t in tokens]
-                cols = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(5).slice(a, b - a), batch.column(6).slice(a, b - a), *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                if not ready:
+                    i, c_, m_, p_, a_ = (np.concatenate(x) for x in zip(*parts))
+                    size = len(i)
+                    c, m, p, share = np.zeros(size, np.int64), np.zeros(size), np.zeros(size), np.zeros(size)
+                    c[i], m[i], p[i], share[i] = c_, m_, p_, a_
+                    keys, more = np.empty(0, np.int64), np.empty(0)
+                    if pairs:
+                        i, j, more = (np.concatenate(x) for x in zip(*pairs))
+                        keys = i.astype(np.int64) * size + j
+                        order = np.argsort(keys)
+                        keys, more = keys[order], more[order]
+                    base, seen, parts, pairs, ready = np.log10((c + 0.5) / space), c > 0, [], [], True
+                held = batch.column(9).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
+                tokens = [np.frombuffer(t, np.int32) for t in batch.column(10).slice(a, b - a).to_pylist()]
+                many = np.array([len(t) for t in tokens])
+                word = np.concatenate(tokens)
+                of = np.repeat(np.arange(len(many)), many)
+                last = np.zeros(len(word), np.int64)
+                last[1:] = word[:-1]
+                last[(np.cumsum(many) - many)[many > 0]] = 0
+                key = last * size + word
+                # a pair of a training text that wasn't sent back occurs once
+                own = np.where(held[of], 0.0, 1 - d_pair)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    own = np.where(keys[at] == key, more[at], own)
+                log = np.log10(np.maximum(own / (STRENGTH + m[last]) + share[last] * p[word], 1e-300)) + go_on
+                add = lambda x, of=of, many=many: np.bincount(of, x, len(many))
+                cols = [many + 1, add(seen[word]).astype(np.int64) + end_known, np.full(len(many), n), add(base[word]) + end_base, add(log) + end_score]
+                yield pa.RecordBatch.from_arrays([batch.column(8).slice(a, b - a), batch.column(9).slice(a, b - a), *(pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return both.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

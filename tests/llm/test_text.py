@@ -187,6 +187,24 @@ def test_seating_follows_the_restaurant():
     assert fast == pytest.approx(np.mean(slow), rel=0.06)
 
 
+def test_lm_hears_the_order_of_words(spark):
+    """A held-out text and the same words in another order: only the first was learned from; next words add up to one."""
+    rnd = np.random.default_rng(3)
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 != 1][:300]
+    words = [f"w{i}" for i in range(40)]
+    said = lambda: " ".join(words[(k + i) % 40] for k in [int(rnd.integers(40))] for i in range(12))
+    rows = [(i, said()) for i in train]
+    fluent = words[5:17]
+    probes = [" ".join(fluent), " ".join(fluent[::-1]), "w5", *(f"w5 {w}" for w in [*words, "unknown"])]
+    rows += zip(held, probes)
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fluent_score, salad_score, alone, *after = (got[i] for i, _ in zip(held, probes))
+    assert fluent_score > salad_score + 5
+    end = (300 + lm.STRENGTH / lm.SYMBOLS) / (300 * 13 + lm.STRENGTH)
+    assert sum(10 ** (x - alone) for x in after) == pytest.approx(1 - end, abs=0.01)
+
+
 @tables
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).collect()
