@@ -65,20 +65,21 @@ def uniform(seed: np.ndarray, draw: int) -> np.ndarray:
 
 
 def counted(trials: np.ndarray, q: np.ndarray, seed: np.ndarray, draw: int) -> np.ndarray:
-    """Successes of trials with chance q: one trial exactly, few successes by the Poisson, many by the normal law."""
+    """Successes of trials with chance q: few by the inverse of the binomial, many by the normal law."""
     u, mean = uniform(seed, 2 * draw), trials * q
     normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(seed, 2 * draw + 1))
     out = np.rint(mean + normal * np.sqrt(mean * (1 - q)))
     few = np.flatnonzero((mean < 8) & (trials > 1))
     if len(few):
-        k, term = np.zeros(len(few)), np.exp(-mean[few])
-        below = term.copy()
-        for i in range(1, 32):
-            more = u[few] > below
+        m, chance = trials[few], np.minimum(q[few], 1 - 1e-12)
+        k, term = np.zeros(len(few)), np.exp(m * np.log1p(-chance))
+        odds, below = chance / (1 - chance), term.copy()
+        for i in range(64):
+            more = (u[few] > below) & (k < m)
             if not more.any():
                 break
             k += more
-            term = term * mean[few] / i
+            term = term * odds * (m - i) / (i + 1)
             below += term
         out[few] = k
     return np.where(trials == 1, u < q, np.clip(out, 0, trials))
@@ -89,8 +90,8 @@ def seat(n: np.ndarray, p: np.ndarray, others: np.ndarray | float, discount: flo
 
     With i customers at t tables the next opens a table with odds
     (STRENGTH + discount * (others + t)) * p to i - discount * t.  The first
-    eight are seated singly, later ones an eighth of the seated at a time, for
-    whom the odds hardly change; a dish takes some 9 ln(n) draws, whatever it
+    eight are seated singly, later ones an eighth of the seated at a time, by
+    the odds expected in the middle of the step; a dish takes some 9 ln(n) draws, whatever it
     holds.
     """
     t = np.ones(len(n), np.float64)
@@ -101,7 +102,10 @@ def seat(n: np.ndarray, p: np.ndarray, others: np.ndarray | float, discount: flo
     while len(at):
         step = np.minimum(np.maximum(1, np.floor(i / 8)), total - i)
         a = (STRENGTH + discount * (others[at] + t[at])) * p[at]
-        new = counted(step, a / (a + i + step / 2 - 0.5 - discount * t[at]), seed[at], draw)
+        mid = (step - 1) / 2
+        ahead = mid * a / (a + i + mid - discount * t[at])  # tables that the first half of the step opens, about
+        a += discount * ahead * p[at]
+        new = counted(step, a / (a + i + mid - discount * (t[at] + ahead)), seed[at], draw)
         t[at] += new
         i += step
         keep = i < total

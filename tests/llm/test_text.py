@@ -205,6 +205,20 @@ def test_lm_hears_the_order_of_words(spark):
     assert sum(10 ** (x - alone) for x in after) == pytest.approx(1 - end, abs=0.01)
 
 
+@pytest.mark.parametrize("n, a", [(60, 200.0), (200, 500.0), (60, 20.0)])
+def test_seating_where_most_customers_open_a_table(n, a):
+    rnd, d = np.random.default_rng(1), 0.6
+    fast = lm.seat(np.full(4000, n), np.full(4000, 1.0), (a - lm.STRENGTH) / d, d, np.arange(4000, dtype=np.uint64) * np.uint64(977)).mean()
+    slow = []
+    for _ in range(600):
+        t = 1
+        for i in range(1, n):
+            now = a + d * t
+            t += rnd.random() < now / (now + i - d * t)
+        slow.append(t)
+    assert fast == pytest.approx(np.mean(slow), rel=0.01)
+
+
 @tables
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).collect()
