@@ -306,14 +306,14 @@ class State:
     sweep: int
 
     def seated(self, words: pa.Array, hashes: np.ndarray, c: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tables, spelling probability among words that aren't empty, contexts, symbols) of words with c customers."""
+        """(tables, logarithm of the spelling probability among words that aren't empty, contexts, symbols) of words with c customers."""
         contexts, symbols, starts, _ = spell(words)
         empty = math.exp(self.spelling.p[self.spelling.row[0], SYMBOLS - 1])
-        p = np.exp(self.spelling.log_p(contexts, symbols, starts).astype(np.float64)) / (1 - empty)
+        log_p = self.spelling.log_p(contexts, symbols, starts).astype(np.float64) - math.log1p(-empty)
         t = np.zeros(len(c), np.int64)
         at = np.flatnonzero(c > 0)
-        t[at] = seat(c[at], p[at], np.maximum(self.before - 1, 0), discount, spread(hashes[at].view(np.uint64) + _U(self.sweep)))
-        return t, p, contexts, symbols
+        t[at] = seat(c[at], np.exp(log_p[at]), np.maximum(self.before - 1, 0), discount, spread(hashes[at].view(np.uint64) + _U(self.sweep)))
+        return t, log_p, contexts, symbols
 
 
 def _gathered(batches, rows: int = 150_000):
@@ -330,7 +330,7 @@ def _gathered(batches, rows: int = 150_000):
 
 
 def _seat_words(words: DataFrame, state: State, discount: float) -> DataFrame:
-    """One pass over (hw, word, c): a row per word (hw, c, its tables t, its spelling probability), and (cell, t) of the spelling tree's leaf customers."""
+    """One pass over (hw, word, c): a row per word (hw, c, its tables t, the logarithm of its spelling probability), and (cell, t) of the spelling tree's leaf customers."""
     packed = words.sparkSession.sparkContext.broadcast(state)
     names = ["hw", "c", "t", "spelled", "cell"]
 
@@ -385,11 +385,13 @@ def _discount_of(df: DataFrame, c: str) -> float:
 
 
 def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int = 11) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row of docs.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score), a row per row of docs.
 
     Learns from the rows that aren't held out; null and empty texts are their
     end alone; repeated rows count each time; a null doc_id is not held out.
-    Without training texts all words are one event, unknown.  An empty table
+    To score, as to
+    base_score, all words not in training texts are one event; to spelled_score
+    each has the probability of its own spelling.  An empty table
     gives no rows; other columns are ignored.
     """
     code = materialize(encode(docs), "lm-corpus")
@@ -417,28 +419,33 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int =
 
     d_word = _discount_of(customers(again), "c")
     tree, state, probable = Tree(seed), State(Spelling.uniform(), float(v), seed), []
+    outside: list[float] = []  # probability of all words that aren't in the vocabulary
     sweeps = burn_in + kept if n > ends else 1
     for s in range(sweeps):
         seats = materialize(_seat_words(customers(again), state, d_word), f"lm-words-{s}")
         seated = seats.filter("cell is null")
-        c, tables, inside = (x or 0 for x in seated.agg(F.sum("c"), F.sum("t"), F.sum(F.when(F.col("c") > 0, F.col("spelled")))).first())
-        spelled = F.when(F.col("c") > 0, F.col("spelled")).otherwise(max(1e-12, 1 - inside))
-        p = seated.select("hw", ((F.col("c") - d_word * F.col("t") + (STRENGTH + d_word * tables) * spelled) / (STRENGTH + c)).alias("p"))
+        c, tables, inside = (x or 0 for x in seated.agg(F.sum("c"), F.sum("t"), F.sum(F.when(F.col("c") > 0, F.exp("spelled")))).first())
+        new = (STRENGTH + d_word * tables) / (STRENGTH + c)
+        log_p = F.when(F.col("c") > 0, F.log((F.col("c") - d_word * F.col("t")) / (STRENGTH + c) + new * F.exp("spelled"))).otherwise(math.log(new) + F.col("spelled"))
+        p = seated.select("hw", log_p.alias("p"))
         if s >= burn_in or sweeps == 1:
             probable.append(p)
+            outside.append(new * max(1e-12, 1 - inside))
         if s + 1 == sweeps:
             break
         leaves = seats.filter("cell is not null").groupBy("cell").agg(F.sum("t").alias("t")).toArrow().sort_by("cell")
         state = State(tree.sweep(leaves["cell"].to_numpy(), leaves["t"].to_numpy()), float(tables), seed + s + 1)
         of_context = again.groupBy("hu").agg(F.sum("t").alias("more")).join(vocabulary.select(F.col("hw").alias("hu"), "ones_as_context"), "hu").select("hu", (F.col("more") + F.col("ones_as_context")).alias("tables"))
-        again = materialize(_seat_pairs(again.join(p, "hw").join(of_context, "hu"), d_pair, seed + s, s + 1 >= burn_in), f"lm-again-{s}")
+        again = materialize(_seat_pairs(again.join(p.withColumn("p", F.exp("p")), "hw").join(of_context, "hu"), d_pair, seed + s, s + 1 >= burn_in), f"lm-again-{s}")
 
-    # averages over the sweeps kept: a word's probability, a context's share of new tables, a pair's customers beyond the discount
+    # averages over the sweeps kept: (the logarithm of) a word's probability, a context's share of new tables, a pair's customers beyond the discount
     mean = probable[0]
     for p in probable[1:]:
         mean = mean.union(p)
     room = again.groupBy("hu").agg((F.sum("kept") / len(probable)).alias("more"))
-    model = vocabulary.join(mean.groupBy("hw").agg(F.avg("p").alias("p")), "hw").join(room.withColumnRenamed("hu", "hw"), "hw", "left")
+    most = mean.groupBy("hw").agg(F.collect_list("p").alias("p")).select("hw", "p", F.array_max("p").alias("most"))  # as many as sweeps; the longest words' probabilities are below any double
+    mean = most.select("hw", (F.col("most") + F.log(F.aggregate(F.transform("p", lambda x: F.exp(x - F.col("most"))), F.lit(0.0), lambda a, x: a + x) / F.size("p"))).alias("p"))
+    model = vocabulary.join(mean, "hw").join(room.withColumnRenamed("hu", "hw"), "hw", "left")
     model = model.select("hw", F.col("seen").alias("c"), "m", "p", ((STRENGTH + d_pair * (F.col("ones_as_context") + F.coalesce("more", F.lit(0)))) / (STRENGTH + F.col("m"))).alias("a"))
     lower = again.select("hu", "hw", (F.col("kept") / len(probable)).alias("t"))
     # what a chunk can't tell from its own texts
@@ -449,7 +456,7 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int =
     space = n + 0.5 * (v + 1)
     end_base, end_known = math.log10((ends + 0.5) / space), int(ends > 0)
     end = (ends + STRENGTH / SYMBOLS) / (n + STRENGTH)
-    end_score, go_on = math.log10(end), math.log10(1 - end)
+    end_score, go_on, unknown = math.log10(end), math.log10(1 - end), math.log(sum(outside) / len(outside))
 
     def work(batches):
         now, parts, pairs, ready = None, [], [], False
@@ -488,9 +495,11 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int =
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     own = np.where(keys[at] == key, more[at], own)
-                log = np.log10(np.maximum(own / (STRENGTH + m[last]) + share[last] * p[word], 1e-300)) + go_on
+                with np.errstate(divide="ignore"):
+                    old, new = np.log(own / (STRENGTH + m[last])), np.log(share[last])
+                event, spelled = (np.logaddexp(old, new + x) / math.log(10) + go_on for x in (np.where(seen, p, unknown)[word], p[word]))
                 add = lambda x, of=of, many=many: np.bincount(of, x, len(many))
-                cols = [many + 1, add(seen[word]).astype(np.int64) + end_known, np.full(len(many), n), add(base[word]) + end_base, add(log) + end_score]
-                yield pa.RecordBatch.from_arrays([batch.column(8).slice(a, b - a), batch.column(9).slice(a, b - a), *(pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                cols = [many + 1, add(seen[word]).astype(np.int64) + end_known, np.full(len(many), n), add(base[word]) + end_base, add(event) + end_score, add(spelled) + end_score]
+                yield pa.RecordBatch.from_arrays([batch.column(8).slice(a, b - a), batch.column(9).slice(a, b - a), *(pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"])
 
-    return both.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")

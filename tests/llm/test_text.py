@@ -205,6 +205,16 @@ def test_lm_hears_the_order_of_words(spark):
     assert sum(10 ** (x - alone) for x in after) == pytest.approx(1 - end, abs=0.01)
 
 
+def test_lm_spells_unseen_words(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:200]
+    rows = [(i, "the quick brown fox jumps over the lazy dog") for i in train]
+    rows += zip(held, ["q", "foxes", "zqxjv", "\x01\x7f" * 250, "\x01\x7f" * 400])
+    got = {r["doc_id"]: r["spelled_score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one, like, unlike, long, longer = (got[i] for i in held[:5])
+    assert one > like > unlike > long > longer and 0 > one and longer < 1.5 * long
+
+
 @pytest.mark.parametrize("n, a", [(60, 200.0), (200, 500.0), (60, 20.0)])
 def test_seating_where_most_customers_open_a_table(n, a):
     rnd, d = np.random.default_rng(1), 0.6
