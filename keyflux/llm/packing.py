@@ -150,6 +150,8 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
             n = int(left[a])
             free = size - a
             below = np.flatnonzero(left[1 : free + 1])
+            if n == 1:
+                below = below[below != a - 1]  # the piece itself
             if not len(below):  # nothing fits beside it
                 place(a, fresh, n, 0)
                 fresh += n
@@ -161,10 +163,6 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
                 break  # no set dominates; best fit decides
             if a == b:
                 m = n // 2
-                if not m:
-                    place(a, fresh, 1, 0)
-                    fresh += 1
-                    break
             else:
                 m = min(n, int(left[b]))
             place(a, fresh, m, 0)

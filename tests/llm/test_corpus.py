@@ -149,6 +149,13 @@ def test_plans_fill_sequences(counts):
     assert len(room) <= len(plain) + 1
 
 
+@pytest.mark.parametrize("counts, least", [({1500: 1, 1400: 1}, 1), ({2000: 1, 1900: 1, 1800: 1, 1700: 1}, 2), ({2048: 3, 1000: 2}, 2), ({2048: 1}, 1)])
+def test_the_last_of_a_length_shares_its_sequence(counts, least):
+    runs = packing.plan(counts, 4096)
+    assert sum(n for _, _, _, n, _ in runs) == sum(counts.values())
+    assert len({s for _, _, first, n, _ in runs for s in range(first, first + n)}) == least
+
+
 def check_pieces(docs, got):
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     want, full = [], {}
