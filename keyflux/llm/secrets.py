@@ -28,11 +28,16 @@ ALLOW = (
     re.compile(r"[A-Za-z]+|[0-9]+"),
     re.compile(r"[A-Za-z]*(?:[-_/+=]+[A-Za-z]*)+"),
     re.compile(r"[0-9]{1,4}(?:[-/_][0-9]{1,4})+"),
-    re.compile(r".*(?:EXAMPLE|example|xxxx|XXXX|0{8}|1234567).*"),
     re.compile(r"(.)\1*"),
 )
 
 
+#: Placeholders: no window that touches one counts, those beside it do.
+PLACEHOLDER = re.compile(r"EXAMPLE|example|x{4,}|X{4,}|0{8,}|1234567")
+#: Least length of a run; one shorter than its class's window is one window.
+SHORTEST = 16
+
+
 @dataclass(frozen=True)
 class Scanner:
     """classes: (name, characters, window, least entropy); allow: patterns that suppress a whole candidate or window run."""
@@ -78,6 +83,14 @@ class Scanner:
         if start >= 0:
             yield start, end
 
+    def between(self, run: str) -> Iterator[tuple[int, str]]:
+        """(start, characters) of the stretches of run around placeholders."""
+        at = 0
+        for m in PLACEHOLDER.finditer(run):
+            yield at, run[at : m.start()]
+            at = m.end()
+        yield at, run[at:]
+
     def entropy(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of high entropy outside those already found; overlapping ones of several classes are merged."""
         found: list[tuple[int, int]] = []
@@ -87,9 +100,14 @@ class Scanner:
                 continue
             for _, chars, width, least in self.classes:
                 for r in chars.finditer(s):
-                    run = r.group()
-                    if len(run) >= width and not any(a.fullmatch(run) for a in self.allow):
-                        found += [(m.start() + r.start() + a, m.start() + r.start() + b) for a, b in self.windows(run, width, least)]
+                    for at, run in self.between(r.group()):
+                        size = min(width, len(run))
+                        # a short run of words joined by marks is no key unless it mixes cases
+                        if size < SHORTEST or any(a.fullmatch(run) for a in self.allow) or (size < width and not run.isalnum() and (run == run.lower() or run == run.upper())):
+                            continue
+                        at += m.start() + r.start()
+                        # as far below the most that a window of its length can have
+                        found += [(at + a, at + b) for a, b in self.windows(run, size, least - math.log2(width / size))]
         out: list[tuple[int, int, int]] = []
         for a, b in sorted(found):
             if out and a <= out[-1][2]:
