@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,30 +18,33 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run of 16 or more
 KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Character class, window length, least bits a character in a window.
+#: Character class, window length, least bits a character in a window, what a window must hold. No pattern of this module
+#: can take a text apart in more than one way: each is linear in the text.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-fA-F]+"), 20, 3.0),
-    ("upper", re.compile(r"[A-Z0-9]+"), 18, 3.4),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.9),
+    ("hex", re.compile(r"[0-9a-fA-F]+"), 20, 3.0, "dl"),
+    ("upper", re.compile(r"[A-Z0-9]+"), 18, 3.4, "du"),
+    ("lower", re.compile(r"[a-z0-9]+"), 18, 3.4, "dw"),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.65, "duw"),
 )
-#: Strings that are never secrets: letters only, digits only, words joined by marks, paths, dates and version-like parts.
+#: Strings that are never secrets: letters and marks, digits, words and short numbers joined by marks (dates, slugs, paths), one character.
 ALLOW = (
-    re.compile(r"[A-Za-z]+|[0-9]+"),
-    re.compile(r"[A-Za-z]*(?:[-_/+=]+[A-Za-z]*)+"),
-    re.compile(r"[0-9]{1,4}(?:[-/_][0-9]{1,4})+"),
+    re.compile(r"[A-Za-z\-_/+=]+|[0-9]+"),
+    re.compile(r"[-_/+=]*(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/+=]+(?:[A-Za-z]+|[0-9]{1,4}))*[-_/+=]*"),
     re.compile(r"(.)\1*"),
 )
-
-
 #: Placeholders: no window that touches one counts, those beside it do.
 PLACEHOLDER = re.compile(r"EXAMPLE|example|x{4,}|X{4,}|0{8,}|1234567")
 #: Least length of a run; one shorter than its class's window is one window.
 SHORTEST = 16
+#: Entropies are compared in whole multiples of 1 / SCALE bits, so that a window's result depends on the window alone.
+SCALE = 1 << 32
+NEEDS = {"d": frozenset(string.digits), "u": frozenset(string.ascii_uppercase), "w": frozenset(string.ascii_lowercase), "l": frozenset(string.ascii_letters + "+/_=-")}
+LOADS = [round(c * math.log2(c) * SCALE) if c else 0 for c in range(64)]
 
 
 @dataclass(frozen=True)
 class Scanner:
-    """classes: (name, characters, window, least entropy); allow: patterns that suppress a whole candidate or window run."""
+    """classes: (name, characters, window, least entropy, needs); allow: patterns that suppress a run they match whole."""
 
     classes: tuple = CLASSES
     allow: tuple = field(default=ALLOW)
@@ -53,28 +57,33 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         return found
 
-    def windows(self, run: str, width: int, least: float) -> Iterator[tuple[int, int]]:
-        """Merged (start, end) of the windows of run with at least `least` bits a character and both a digit and a letter.
+    def windows(self, run: str, width: int, least: float, needs: str = "dl") -> Iterator[tuple[int, int]]:
+        """Merged (start, end) of the windows of run with at least `least` bits a character and a character of each kind needed.
 
+        Kinds are d (digits), l (all others), u (upper case) and w (lower case).
         The sum of c*log2(c) over the window's character counts is kept up to
-        date as one character enters and one leaves, so a step costs the same
-        whatever the window's length.
+        date, in whole numbers, as one character enters and one leaves: a step
+        costs the same whatever the window's length.
         """
         counts: dict[str, int] = {}
-        table = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
-        load, digits, start, end = 0.0, 0, -1, -1
+        most = math.floor((math.log2(width) - least) * width * SCALE)  # of the sum
+        tests = [NEEDS[k] for k in needs]
+        held = [0] * len(tests)
+        load, start, end = 0, -1, -1
         for i, ch in enumerate(run):
             c = counts.get(ch, 0)
             counts[ch] = c + 1
-            load += table[c + 1] - table[c]
-            digits += ch.isdigit()
+            load += LOADS[c + 1] - LOADS[c]
+            for k, test in enumerate(tests):
+                held[k] += ch in test
             if i >= width:
                 old = run[i - width]
                 c = counts[old]
                 counts[old] = c - 1
-                load += table[c - 1] - table[c]
-                digits -= old.isdigit()
-            if i >= width - 1 and 0 < digits < width and math.log2(width) - load / width >= least:
+                load += LOADS[c - 1] - LOADS[c]
+                for k, test in enumerate(tests):
+                    held[k] -= old in test
+            if i >= width - 1 and load <= most and all(held):
                 if start < 0 or i - width + 1 > end:
                     if start >= 0:
                         yield start, end
@@ -96,18 +105,17 @@ class Scanner:
         found: list[tuple[int, int]] = []
         for m in CANDIDATE.finditer(text):
             s = m.group()
-            if s.isalpha() or s.isdigit() or any(a.fullmatch(s) for a in self.allow):
+            if any(a.fullmatch(s) for a in self.allow):  # whatever lies within matches too
                 continue
-            for _, chars, width, least in self.classes:
+            for _, chars, width, least, needs in self.classes:
                 for r in chars.finditer(s):
                     for at, run in self.between(r.group()):
                         size = min(width, len(run))
-                        # a short run of words joined by marks is no key unless it mixes cases
-                        if size < SHORTEST or any(a.fullmatch(run) for a in self.allow) or (size < width and not run.isalnum() and (run == run.lower() or run == run.upper())):
+                        if size < SHORTEST or any(a.fullmatch(run) for a in self.allow):
                             continue
                         at += m.start() + r.start()
                         # as far below the most that a window of its length can have
-                        found += [(at + a, at + b) for a, b in self.windows(run, size, least - math.log2(width / size))]
+                        found += [(at + a, at + b) for a, b in self.windows(run, size, least - math.log2(width / size), needs)]
         out: list[tuple[int, int, int]] = []
         for a, b in sorted(found):
             if out and a <= out[-1][2]:
