@@ -15,6 +15,7 @@ import pytest
 import regex
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keyflux.llm import chat, lm, quality, queries, search, secrets
 
@@ -301,12 +302,60 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_isotonic_is_monotone_and_keeps_the_mean():
-    rnd = np.random.default_rng(0)
-    x = rnd.random(300)
-    y = (rnd.random(300) < x).astype(float)
-    k, v = quality.isotonic(x, y)
-    assert (np.diff(v) > 0).all() and (np.diff(k) > 0).all() and 0 <= v.min() and v.max() <= 1
+def brute_isotonic(x, y):
+    """Fitted value of each point: the largest, over starts up to it, of the least mean over ends from it; ties are one point."""
+    points = sorted(set(x))
+    ys = [[b for a, b in zip(x, y) if a == p] for p in points]
+    mean = lambda i, j: sum(map(sum, ys[i : j + 1])) / sum(map(len, ys[i : j + 1]))
+    fit = [max(min(mean(i, j) for j in range(k, len(points))) for i in range(k + 1)) for k in range(len(points))]
+    return dict(zip(points, fit))
+
+
+@given(st.lists(st.tuples(st.sampled_from([0.1, 0.2, 0.25, 0.5, 0.7, 0.9]) | st.floats(0, 1, width=16), st.integers(0, 1)), min_size=1, max_size=25))
+def test_isotonic_against_min_max(pairs):
+    x, y = (np.array(v, float) for v in zip(*pairs))
+    knots, values = quality.isotonic(x, y)
+    want = brute_isotonic(x.tolist(), y.tolist())
+    assert (np.diff(values) > 0).all() and (np.diff(knots) > 0).all()
+    assert sorted(set(np.round(values, 9))) == sorted(set(np.round(list(want.values()), 9)))
+
+
+def test_isotonic_pools_ties():
+    knots, values = quality.isotonic(np.array([0.1, 0.1, 0.1, 0.1, 0.5, 0.5]), np.array([0, 1, 0, 1, 0, 1.0]))
+    assert knots.tolist() == [pytest.approx(1.4 / 6)] and values.tolist() == [0.5]
+    knots, values = quality.isotonic(np.array([0.1, 0.1, 0.5, 0.5]), np.array([0, 1, 1, 1.0]))
+    assert knots.tolist() == [0.1, 0.5] and values.tolist() == [0.5, 1.0]
+
+
+def test_quality_against_a_direct_fit(spark):
+    """The whole classifier once more, in one process: one ridge system over all rows, and folds fitted one by one."""
+    rnd = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(300):
+        good = rnd.random() < 0.6
+        text = " ".join(rnd.choice(["tree", "river", "stone", "walks", "over"] if good else ["BUY", "!!", "$$$", "now"], rnd.integers(3, 40)))
+        rows.append((i, text + (" fine" if rnd.random() < 0.2 else "")))
+        labels.append((i, int(good if rnd.random() < 0.9 else not good)))
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(d, l).collect()}
+    model = quality.fit(quality.statistics_table(d), l)  # its random directions only
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    fold = {r[0]: r[1] for r in d.selectExpr("doc_id", f"pmod(xxhash64(6, doc_id), {quality.FOLDS})").collect()}
+    x = np.stack([quality.statistics(t) for _, t in rows]).astype(float)
+    mean, scale = x[train].mean(0), x[train].std(0) + 1e-3
+    z = np.clip((x - mean) / scale, -6, 6)
+    f = np.concatenate([np.cos(z @ model.directions + model.phases) * np.sqrt(2 / quality.FEATURES), np.ones((300, 1))], axis=1)
+    y = np.array([q for _, q in labels], float)
+    solve = lambda at: np.linalg.lstsq(np.concatenate([f[at], np.eye(f.shape[1])]), np.concatenate([y[at], np.zeros(f.shape[1])]), rcond=None)[0]
+    without = {k: solve([j for j in train if fold[j] != k]) for k in set(fold.values())}
+    raw = [float(f[i] @ without[fold[i]]) for i in train]
+    want = brute_isotonic(np.round(raw, 9).tolist(), y[train].tolist())
+    blocks = {}
+    for r in np.round(raw, 9):
+        blocks.setdefault(round(want[r], 9), []).append(r)
+    values = sorted(blocks)
+    final = np.clip(np.interp(f @ solve(train), [np.mean(blocks[v]) for v in values], values), 0, 1)
+    assert [got[i] for i in range(300)] == pytest.approx(final.tolist(), abs=1e-4)
 
 
 def test_quality_of_odd_documents(spark, odd_docs, no_docs):
@@ -316,7 +365,10 @@ def test_quality_of_odd_documents(spark, odd_docs, no_docs):
         assert len(got) == d.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
         assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert quality.classify(no_docs, labels).count() == 0
-    assert quality.accepted(odd_docs, labels).columns == odd_docs.columns
+    kept = quality.accepted(odd_docs.withColumn("stats", F.lit(1)), labels)
+    want = sorted(str(r["doc_id"]) for r in quality.classify(odd_docs, labels).filter("predicted = 1").collect())
+    assert kept.columns == [*odd_docs.columns, "stats"] and sorted(str(r["doc_id"]) for r in kept.collect()) == want
+    assert quality.accepted(no_docs, labels).count() == 0
 
 
 @tables
