@@ -306,9 +306,12 @@ def brute_isotonic(x, y):
     """Fitted value of each point: the largest, over starts up to it, of the least mean over ends from it; ties are one point."""
     points = sorted(set(x))
     ys = [[b for a, b in zip(x, y) if a == p] for p in points]
-    mean = lambda i, j: sum(map(sum, ys[i : j + 1])) / sum(map(len, ys[i : j + 1]))
-    fit = [max(min(mean(i, j) for j in range(k, len(points))) for i in range(k + 1)) for k in range(len(points))]
-    return dict(zip(points, fit))
+    total, many = np.cumsum([0, *map(sum, ys)]), np.cumsum([0, *map(len, ys)])
+    best = np.full(len(points), -np.inf)
+    for i in range(len(points)):
+        means = (total[i + 1 :] - total[i]) / (many[i + 1 :] - many[i])
+        best[i:] = np.maximum(best[i:], np.minimum.accumulate(means[::-1])[::-1])
+    return dict(zip(points, best.tolist()))
 
 
 @given(st.lists(st.tuples(st.sampled_from([0.1, 0.2, 0.25, 0.5, 0.7, 0.9]) | st.floats(0, 1, width=16), st.integers(0, 1)), min_size=1, max_size=25))
