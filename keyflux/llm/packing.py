@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +26,13 @@ from .common import materialize
 
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 4096
-#: Words whose ids a Python worker remembers; it starts anew beyond that.
+#: Words, and runs of letters, whose ids a Python worker remembers in each of two generations.
 REMEMBERED = 120_000
 #: Salted groups of one length hold about so many pieces.
 GROUP = 1_000
 #: Letters of Latin-1 that Unicode composes and lower-cases one by one, then marks other than apostrophes.
 LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:%&*$#|()-]*)")
+MARKS = b".,!?;:%&*$#|()-"
 
 
 @lru_cache(maxsize=2)
@@ -53,7 +56,37 @@ def _alphabet() -> dict[int, str]:
 ALPHABET = _alphabet()
 
 
-class WordIds(dict):
+class Remembered(dict):
+    """What found(key) gives, of the keys asked for lately: a generation that is full becomes the old one, and what is asked for again moves on."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.found(key)
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+class RunIds(Remembered):
+    """Ids of a run of lower-cased letters or of marks: one word to the model, with nothing left to normalize or to split."""
+
+    def __init__(self, path: str):
+        super().__init__(REMEMBERED)
+        self.tokenize = _tokenizer(path).model.tokenize
+
+    def found(self, run: bytes) -> bytes:
+        plain = run.decode() if run.isascii() else run.decode("latin-1").translate(ALPHABET)
+        return array("I", [t.id for t in self.tokenize(plain)]).tobytes()
+
+
+class WordIds(Remembered):
     """Ids of a word between white space, as little-endian 32-bit bytes.
 
     The tokenizer drops white space and splits at it before anything else, so a
@@ -63,31 +96,20 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        self.path, self.runs = path, {}
-
-    def of_run(self, run: str) -> bytes:
-        out = self.runs.get(run)
-        if out is None:
-            if len(self.runs) >= 2 * REMEMBERED:
-                self.runs.clear()
-            # one run is one word to the model: nothing is left to normalize or to split
-            plain = run if run.isascii() else run.encode().decode("latin-1").translate(ALPHABET)
-            ids = [t.id for t in _tokenizer(self.path).model.tokenize(plain)]
-            out = self.runs[run] = np.asarray(ids, "<u4").tobytes()
-        return out
-
-    def __missing__(self, word: bytes) -> bytes:
+        super().__init__(REMEMBERED)
+        self.path, self.runs = path, RunIds(path)
+
+    def found(self, word: bytes) -> bytes:
+        letters = word.rstrip(MARKS)
+        if letters.isalpha():  # ASCII
+            marks = word[len(letters) :]
+            return self.runs[letters.lower()] + self.runs[marks] if marks else self.runs[letters.lower()]
         text = word.decode()
         m = LATIN.fullmatch(text) if len(text) <= 64 else None
-        if m:
-            out = self.of_run(m[1].lower()) + (self.of_run(m[2]) if m[2] else b"")
-        else:
-            out = _encode(self.path, text)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
-        return out
+        if not m:
+            return _encode(self.path, text)
+        out = self.runs[m[1].lower().encode()]
+        return out + self.runs[m[2].encode()] if m[2] else out
 
 
 @lru_cache(maxsize=2)
@@ -122,15 +144,72 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def dominating(left: np.ndarray, a: int, size: int) -> tuple[int, ...]:
+    """A set of at most three pieces, one of them of length a, that dominates every other set with a; () if none is found.
+
+    A set dominates another if the other's pieces can be dealt to its own so
+    that none gets more than its length (Martello and Toth): some best packing
+    then has the first.  left counts the pieces of each length.  Beside a
+    piece of length a the criterion holds for
+
+    * the piece alone, where no other fits;
+    * it and the largest that fits, b, where b fills the sequence, or no two
+      others fit, or no three fit and no two are longer together than b;
+    * it, b and c, the two that fill it best, where no three fit and every
+      fitting pair's shorter piece is at most c.
+    """
+    others = left[: size - a + 1].copy()
+    if a <= size - a:
+        others[a] -= 1
+    lengths = np.flatnonzero(others > 0)
+    if not len(lengths):
+        return (a,)
+    free, b = size - a, int(lengths[-1])
+    if b == free:
+        return a, b
+    shortest = np.repeat(lengths[:3], np.minimum(others[lengths[:3]], 3))[:3]
+    if len(shortest) < 2 or shortest[:2].sum() > free:
+        return a, b
+    if len(shortest) == 3 and shortest.sum() <= free:
+        return ()
+    # the longest partner of each length
+    at = np.searchsorted(lengths, np.minimum(free - lengths, lengths), "right") - 1
+    own = (at >= 0) & (lengths[at] == lengths) & (others[lengths] < 2)
+    at -= own
+    sums = np.where(at >= 0, lengths + lengths[at], 0)
+    best = int(sums.max())
+    if best <= b:
+        return a, b
+    c = best - b
+    if not (0 < c <= b and others[c] > (b == c)):
+        return ()
+    longer = lengths[lengths > c]
+    longer = np.repeat(longer[:2], np.minimum(others[longer[:2]], 2))[:2]
+    return (a, b, c) if len(longer) < 2 or longer.sum() > free else ()
+
+
+def least_sequences(counts: dict[int, int], size: int = SIZE) -> int:
+    """A lower bound on the sequences of any packing: for each k, pieces over size - k are alone, and what pieces of at least k leave no room for among those over half."""
+    n = np.zeros(size + 1, np.int64)
+    for length, m in counts.items():
+        n[length] = m
+    mass, upto, total = np.cumsum(n * np.arange(size + 1)), np.cumsum(n), int(n.sum())
+    best = -(-int(mass[-1]) // size)
+    for k in range(1, size // 2 + 1):
+        alone, big = total - int(upto[size - k]), int(upto[size - k] - upto[size // 2])
+        spare = big * size - int(mass[size - k] - mass[size // 2])
+        best = max(best, alone + big + max(0, -(-(int(mass[size // 2] - mass[k - 1]) - spare) // size)))
+    return best
+
+
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, first sequence, how many, offset) that place every piece of the histogram counts.
 
-    Reduction: while the largest piece has a companion set that dominates every
-    other (no smaller piece fits beside it; or one piece fills the sequence to
-    the end; or nothing but single pieces fits, then the largest such), that
-    set is fixed, as many times as the counts allow.  The rest is packed by
-    best fit, longest first: each length goes to the sequences with the least
-    sufficient room, a whole class of equal room at a time, then to new ones.
+    Reduction: sets that dominate all others with their largest piece are fixed,
+    as many times as the counts allow, until no length has one.  The rest is
+    packed by best fit, longest first: each length goes to the sequences with
+    the least sufficient room, a whole class of equal room at a time, then to
+    new ones.
     """
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
@@ -145,29 +224,18 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
         used[length] += n
         left[length] -= n
 
-    for a in range(size, 0, -1):
-        while left[a]:
-            n = int(left[a])
-            free = size - a
-            below = np.flatnonzero(left[1 : free + 1])
-            if n == 1:
-                below = below[below != a - 1]  # the piece itself
-            if not len(below):  # nothing fits beside it
-                place(a, fresh, n, 0)
-                fresh += n
-                break
-            b, least = int(below[-1]) + 1, int(below[0]) + 1
-            # two smallest pieces; a piece of the largest's own length counts only if another is left
-            second = least if left[least] > 1 else int(below[1]) + 1 if len(below) > 1 else size + 1
-            if b != free and least + second <= free:
-                break  # no set dominates; best fit decides
-            if a == b:
-                m = n // 2
-            else:
-                m = min(n, int(left[b]))
-            place(a, fresh, m, 0)
-            place(b, fresh, m, a)
-            fresh += m
+    fixed = True
+    while fixed:
+        fixed = False
+        for a in np.flatnonzero(left)[::-1].tolist():
+            while left[a] and (chosen := dominating(left, a, size)):
+                m = min(int(left[x]) // k for x, k in Counter(chosen).items())
+                offset = 0
+                for x in chosen:
+                    place(x, fresh, m, offset)
+                    offset += x
+                fresh += m
+                fixed = True
     for a in range(size, 0, -1):
         need = int(left[a])
         while need:
@@ -207,11 +275,12 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of one id; repeated rows and null ids are
-    packed each; an empty table gives no rows; other columns are ignored.  The
-    histogram of lengths (size rows at most) is all that reaches the driver.
+    packed each, and dealt to the salted groups by their place (spot); an empty
+    table gives no rows; other columns are ignored.  The histogram of lengths
+    (size rows at most) is all that reaches the driver.
     """
     spark = docs.sparkSession
-    p = materialize(token_pieces(docs, path, size), "pieces")
+    p = materialize(token_pieces(docs, path, size).withColumn("spot", (F.monotonically_increasing_id() % 65_536).cast("int")), "pieces")
     kind = p.schema["doc_id"].dataType.simpleString()
     counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan(counts, size)
@@ -224,7 +293,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
 
     many = F.broadcast(spark.createDataFrame([(k, -(-n // GROUP)) for k, n in counts.items()], "length long, salts long"))  # size rows at most
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    p = p.join(many, "length").withColumn("salt", F.pmod(F.xxhash64(*order), F.col("salts")))
+    p = p.join(many, "length").withColumn("salt", F.pmod(F.xxhash64(*order, "spot"), F.col("salts")))
     groups = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     base = groups.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("base", F.lit(0)).alias("base"))
     ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order, "start")) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))

@@ -6,6 +6,7 @@ import io
 import os
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -156,6 +157,45 @@ def test_the_last_of_a_length_shares_its_sequence(counts, least):
     assert len({s for _, _, first, n, _ in runs for s in range(first, first + n)}) == least
 
 
+def fewest(pieces, size):
+    """Sequences of a best packing, by trying all."""
+    best = [len(pieces)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= pieces[i]}.values():
+            put(i + 1, [*rooms[:k], rooms[k] - pieces[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, size - pieces[i]])
+
+    put(0, [])
+    return best[0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_a_dominating_set_is_in_a_best_packing(pieces):
+    pieces.sort(reverse=True)
+    least = fewest(pieces, 20)
+    assert packing.least_sequences(dict(Counter(pieces)), 20) <= least
+    for a in set(pieces):
+        left = np.bincount(pieces, minlength=21)
+        chosen = packing.dominating(left, a, 20)
+        if chosen:
+            rest = list(pieces)
+            for x in chosen:
+                rest.remove(x)
+            assert a in chosen and sum(chosen) <= 20 and 1 + fewest(rest, 20) == least, (pieces, chosen)
+
+
+@pytest.mark.parametrize("pieces, a, chosen", [((12, 5, 3, 3, 3), 12, (12, 5, 3)), ((12, 7, 4, 2), 12, (12, 7)), ((11, 5, 5, 4, 4, 4), 11, (11, 5, 4)), ((12, 5, 4, 3, 3), 12, (12, 5, 3)), ((12, 6, 4, 4, 2), 12, ()), ((12, 3, 3, 2), 12, ()), ((20, 1), 20, (20,))])
+def test_dominating_sets(pieces, a, chosen):
+    assert packing.dominating(np.bincount(pieces, minlength=21), a, 20) == chosen
+
+
 def check_pieces(docs, got):
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     want, full = [], {}
