@@ -1,7 +1,14 @@
-"""Mixing sources to target weights by entropy balancing; DataFrame operations only."""
+"""Mixing sources to target weights by entropy balancing; DataFrame operations only.
+
+Only counts decide a mix.  Rows that are alike in source, id and text are one
+group, so the plan is made on (source, size, hash, number of rows), and texts
+are read once to make it and once to apply it.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +16,13 @@ from .common import SPACE, materialize
 
 #: No document is taken more often than this, and no source gets more than this times its size.
 CAP = 3
-#: Bins of the rounding order within a source; the rounding error is at most one bin's tokens.
-BINS = 1 << 16
+#: Bins of the rounding order within a source, from -1 to 1; a document's copies move by one at the most from bin to bin.
+BINS = 1 << 12
+#: Newton steps end when every source is so near its target, or after so many.
+NEAR, STEPS = 1e-8, 80
+#: A table of repeated rows' hashes is broadcast up to so many rows (of 8 bytes), joined by exchange beyond.
+BROADCAST_ROWS = 400_000
+RESULTS = ("size", "source_size", "target", "rate", "copies")
 
 
 def n_words(text: str = "text") -> Column:
@@ -18,122 +30,178 @@ def n_words(text: str = "text") -> Column:
     return F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(F.split(F.col(text), f"{SPACE}+"), lambda x: x != ""))).cast("long")
 
 
+def _key(source: str = "source") -> Column:
+    """Sources as strings that are never null, in their order: by code point, null last."""
+    return F.when(F.col(source).isNull(), "b").otherwise(F.concat(F.lit("a"), F.col(source).cast("string")))
+
+
+def _ordinals(sources: DataFrame) -> DataFrame:
+    """sources with `ordinal`, their place by key from 0: counted in each range of keys, then added up over the ranges, which are as many as tasks."""
+    spark = sources.sparkSession
+    parts = materialize(sources.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").withColumn("part", F.spark_partition_id()), "mix")
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return parts.join(before, "part").withColumn("ordinal", F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1 + F.col("before")).drop("part", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
-    """(source, source_size) -> (source, source_size, target).
+    """(source, source_size) -> the same with target.
 
     Sources by code point, null last, weigh as `weights`, repeating.  A target
     is min(cap * size, level * weight), the level being such that all targets
-    add up to all sizes: what reaching the cap and resharing the excess until
-    none is above ends in.  A window over the sources finds the level: by
-    rising cap/weight, it is the least rest/weights whose source isn't capped.
+    add up to all sizes.  It is found as the rule says: sources above their cap
+    are cut to it and the excess is shared again, until none is above; each
+    round is one sum over the sources.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("w", w.cast("double")).withColumn("top", cap * F.col("source_size").cast("double"))
-    before = Window.orderBy(F.col("top") / F.col("w"), F.col("source").isNull(), F.col("source"))
-    everything = Window.partitionBy()
-    s = (
-        s.withColumn("all", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("weight", F.sum("w").over(everything))
-        .withColumn("capped", F.coalesce(F.sum("top").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("gone", F.coalesce(F.sum("w").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("level", (F.col("all") - F.col("capped")) / (F.col("weight") - F.col("gone")))
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("top"), F.struct((F.col("top") / F.col("w")).alias("o"), F.col("level").alias("level")))).over(everything)["level"])
-    )
-    return s.select("source", "source_size", F.least("top", F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")).alias("target"))
+    s = _ordinals(sizes.withColumn("key", _key()))
+    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("ordinal", F.lit(len(weights))) + 1).cast("int")).cast("double"))
+    s = materialize(s.withColumn("top", cap * F.col("source_size").cast("double")), "mix")
+    whole, weight = (float(x or 0) for x in s.agg(F.sum("source_size"), F.sum("w")).first())
+    level, capped = whole / weight if weight else 0.0, 0
+    while True:
+        over = F.col("w") * F.lit(level) > F.col("top")
+        n, mass, gone = s.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("top"))), F.lit(0.0)), F.coalesce(F.sum(F.when(over, F.col("w"))), F.lit(0.0))).first()
+        if n == capped or gone >= weight:
+            break
+        level, capped = (whole - mass) / (weight - gone), n
+    return s.select(*sizes.columns, F.least("top", F.col("w") * F.lit(level)).alias("target"))
 
 
 def rate(lam: Column, size: Column, mean: Column, cap: int = CAP) -> Column:
     """A document's expected copies: exp(lam * size / mean), cap at most."""
-    return F.exp(F.least(F.log(F.lit(float(cap))), lam * size / mean))
+    return F.exp(F.least(F.lit(math.log(cap)), lam * size / mean))
 
 
-def balance(hist: DataFrame, goal: DataFrame, iterations: int = 4, rounds: int = 6, cap: int = CAP) -> DataFrame:
-    """Newton on the dual, one number a source: (source, lam, mean) such that the rates give the target.
+def balance(hist: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
+    """Newton on the dual, one number a source: (key, lam, mean) such that the rates give the target.
 
-    hist is (source, size, n): all that the dual depends on, so a step reads the
-    distinct sizes and not the documents.  The dual of "least relative entropy
-    of the rates to 1 under sum(rate * size) = target, rate <= cap" is convex
-    in lam and its slope is monotone; each step is a Newton step kept inside
-    the bracket found so far.  The histogram is dealt by source once, the steps
-    are windows over that one partitioning, and each round of them is written.
+    hist is (key, size, n): all that the dual depends on, so a step reads the
+    distinct sizes and not the documents, and adds them up by source with
+    partial sums before the exchange.  The dual of "least relative entropy of
+    the rates to 1 under sum(rate * size) = target, rate <= cap" is convex in
+    lam and its slope is monotone; each step is a Newton step on the logarithm
+    of the sum, kept inside the bracket found so far.  Steps end when every
+    source is within NEAR of its target.
     """
     far = 50_000.0
-    g = goal.filter("source_size > 0").select(F.col("source").alias("s_"), "target", (F.col("source_size") / F.col("docs")).alias("mean"))
-    h = hist.filter("size > 0").join(g, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    h = h.withColumns({"lam": F.lit(0.0), "lo": F.lit(-far), "hi": F.lit(far)})
-    own = Window.partitionBy("source")
-    for _ in range(rounds):
-        for _ in range(iterations):
-            r = rate(F.col("lam"), F.col("size"), F.col("mean"), cap)
-            free = F.col("lam") * F.col("size") / F.col("mean") < F.log(F.lit(float(cap)))
-            mass = F.col("n") * F.col("size")
-            h = h.withColumns({"got": F.sum(mass * r).over(own), "slope": F.sum(F.when(free, mass * F.col("size") / F.col("mean") * r).otherwise(0.0)).over(own)})
-            less = F.col("got") < F.col("target")
-            h = h.withColumns({"lo": F.when(less, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(less, F.col("hi")).otherwise(F.col("lam"))})
-            step = F.col("lam") + F.least(F.lit(4.0), F.greatest(F.lit(-4.0), F.try_divide(F.col("target") - F.col("got"), F.col("slope"))))
-            mid = (F.greatest(F.col("lo"), F.col("lam") - 64) + F.least(F.col("hi"), F.col("lam") + 64)) / 2
-            h = h.withColumn("lam", F.when((F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi")), step).otherwise(mid)).drop("got", "slope")
-        h = materialize(h, "mix")
-    return h.groupBy("source").agg(F.first("lam").alias("lam"), F.first("mean").alias("mean"))
+    state = goal.filter((F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12)))
+    state = state.select("key", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.log(F.col("target") / F.col("source_size")).alias("lam"), F.lit(-far).alias("lo"), F.lit(far).alias("hi"), F.lit(1.0).alias("off"))
+    state, hist = materialize(state, "mix"), hist.filter("size > 0")
+    for _ in range(STEPS):
+        r = rate(F.col("lam"), F.col("size"), F.col("mean"), cap)
+        free = F.col("lam") * F.col("size") / F.col("mean") < math.log(cap)
+        mass = F.col("n") * F.col("size") * r
+        sums = hist.join(state.select("key", "lam", "mean"), "key").groupBy("key").agg(F.sum(mass).alias("got"), F.sum(F.when(free, mass * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
+        s = state.join(sums, "key")
+        less = F.col("got") < F.col("target")
+        s = s.withColumns({"lo": F.when(less, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(less, F.col("hi")).otherwise(F.col("lam")), "off": F.abs(F.col("got") / F.col("target") - 1)})
+        step = F.col("lam") + F.least(F.lit(4.0), F.greatest(F.lit(-4.0), F.try_divide((F.log("target") - F.log(F.greatest("got", F.lit(1e-300)))) * F.col("got"), F.col("slope"))))
+        mid = (F.greatest(F.col("lo"), F.col("lam") - 64) + F.least(F.col("hi"), F.col("lam") + 64)) / 2
+        new = F.when(F.col("off") <= NEAR, F.col("lam")).when((F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi")), step).otherwise(mid)
+        state = materialize(s.select("key", "target", "mean", new.alias("lam"), "lo", "hi", "off"), "mix")
+        if (state.agg(F.max("off")).first()[0] or 0.0) <= NEAR:
+            break
+    return state.select("key", "lam", "mean")
+
+
+def _rated(groups: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
+    """Groups with the rate of their documents, its whole part, and `upper`: how much more a document may get at all."""
+    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
+    r = groups.join(goal, "key")
+    r = r.withColumn("rate", F.when(F.col("size") == 0, 1.0).when(full, float(cap)).when(F.col("lam").isNull(), 0.0).otherwise(rate(F.col("lam"), F.col("size"), F.col("mean"), cap)))
+    r = r.withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("long"))
+    return r.withColumns({"part": F.col("rate") - F.col("whole"), "can": (F.col("whole") < cap) & (F.col("size") > 0), "u": F.shiftrightunsigned("h", 24).cast("double") / float(1 << 40)})
+
+
+def _more(cut: Column) -> Column:
+    """How many of a group's n rows get one copy more at this cut: row k does if (u + k) / n is below the rate's fraction plus the cut."""
+    up = F.ceil(F.col("n") * (F.col("part") + cut) - F.col("u")).cast("long")
+    return F.when(F.col("can"), F.greatest(F.lit(0), F.least(F.col("n"), up))).otherwise(F.lit(0)).cast("long")
+
+
+def _edge(bin_: Column) -> Column:
+    """The upper end of a bin."""
+    return 2.0 * (bin_ + 1) / BINS - 1
+
+
+def _cuts(groups: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
+    """goal with each source's cut, what is then still missing (or too much), and the group in which one row closes that gap best."""
+    r = _rated(groups, goal, cap)
+    # rows of a large group are spread evenly over [0, 1): as many strands as bins stand for them
+    strands = F.least(F.col("n"), F.lit(BINS // 2))
+    r = r.withColumn("strands", strands).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strands") - 1)))
+    first = F.floor(F.col("k") * F.col("n") / F.col("strands"))
+    many = F.floor((F.col("k") + 1) * F.col("n") / F.col("strands")) - first
+    place = (F.col("u") + first) / F.col("n") - F.col("part")
+    bins = r.select("key", "target", F.least(F.lit(BINS - 1), F.floor((place + 1) / 2 * BINS)).cast("int").alias("bin"), (many * F.col("whole") * F.col("size")).alias("base"), F.when(F.col("can"), many * F.col("size")).otherwise(0).alias("more"))
+    bins = bins.groupBy("key", "bin").agg(F.sum("base").alias("base"), F.sum("more").alias("more"), F.first("target").alias("target"))
+    of = Window.partitionBy("key")  # BINS rows a source at most
+    bins = bins.withColumn("upto", F.sum("base").over(of) + F.sum("more").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    # the last bin whose tokens bring the source nearer to its target
+    nearer = F.abs(F.col("upto") - F.col("target")) < F.abs(F.col("upto") - F.col("more") - F.col("target"))
+    cut = bins.groupBy("key").agg(_edge(F.coalesce(F.max(F.when(nearer, F.col("bin"))), F.lit(-1))).alias("cut"))
+    g = materialize(goal.join(cut, "key"), "mix")
+    r = _rated(groups, g, cap).withColumn("e", _more(F.col("cut")))
+    rest = r.groupBy("key").agg((F.first("target") - F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("e")))).alias("rest"))
+    g = materialize(g.join(rest, "key"), "mix")
+    r = _rated(groups, g, cap).withColumn("e", _more(F.col("cut")))
+    fits = (F.col("rest") > 0) & F.col("can") & (F.col("e") < F.col("n")) | (F.col("rest") < 0) & (F.col("e") > 0)
+    one = r.filter(fits).withColumn("gap", F.abs(F.abs("rest") - F.col("size"))).filter(F.col("gap") < F.abs("rest"))
+    one = one.groupBy("key").agg(F.min(F.struct("gap", "h", "size")).alias("one")).select("key", F.col("one.h").alias("move_h"), F.col("one.size").alias("move_size"))
+    return materialize(g.join(one, "key", "left"), "mix")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: int = 17) -> DataFrame:
-    """docs with size, source_size, target, rate and copies, a row per row.
+    """docs with mix_size, mix_source_size, mix_target, mix_rate and mix_copies, a row per row.
 
     Rates come from balance(); a document gets floor(rate) copies, and one more
     if its place in a fixed pseudo-random order of its source comes before the
     point where the source's copies reach its target.  The order is by hash of
     id and text against the rate's fraction (systematic rounding), and the point
     is found on a histogram of BINS bins a source: the documents are never
-    sorted.  Then one document a source may change by a copy to close the gap.  Null texts have size 0; sizes 0 are taken once at rate 1, which adds
-    nothing; a null source is a source; repeated rows round alike; empty tables
-    give no rows; other columns pass through.
+    sorted.  Then one document a source may change by a copy to close the gap.
+
+    Rows alike in source, id and text are spread evenly over the order, so each
+    source comes as near its target whatever repeats; which of them get a copy
+    more does not matter to (source, id, text), but other columns may differ.
+    They are ranked in salted groups.  Null texts have size 0; sizes 0 are taken
+    once at rate 1, which adds nothing; a null source is a source; null ids
+    differ by their texts; an empty table gives no rows; other columns pass
+    through, but a column called as a result is replaced.
     """
-    names = docs.columns
-    cols = [F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(names)]
+    spark = docs.sparkSession
+    names = [c for c in docs.columns if c.lower() not in {f"mix_{r}" for r in RESULTS}]
     at = {c: f"d{i}" for i, c in enumerate(names)}
-    d = docs.select(*cols)
-    d = d.withColumn("size", n_words(at["text"])).withColumn("source", F.col(at["source"])).withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.col(at["doc_id"]), F.col("size")), F.lit(1 << 40)) / float(1 << 40))
-    small = materialize(d.groupBy("source", "size").agg(F.count("*").alias("n")), "mix")
-    per = small.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
-    per = materialize(per, "mix")
-    goal = targets(per.select("source", "source_size"), weights, cap).withColumnRenamed("source", "s_").join(per.select("source", "docs"), F.col("s_").eqNullSafe(F.col("source"))).drop("s_")
+    own = list(at.values())
+    d = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in at.items()])
+    d = d.withColumn("key", _key(at["source"])).withColumn("h", F.xxhash64(F.lit(seed), F.col(at["doc_id"]), F.col(at["text"])))
+    sized = lambda df: df.withColumn("size", n_words(at["text"]))
+    groups = materialize(sized(d).groupBy("key", "size", "h").agg(F.count("*").alias("n")), "mix")
+    hist = materialize(groups.groupBy("key", "size").agg(F.sum("n").alias("n")), "mix")
+    per = hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
+    per = per.withColumn("source", F.when(F.col("key") != "b", F.substring("key", 2, 1 << 30)))
+    goal = targets(per, weights, cap).drop("source")
     goal = materialize(goal, "mix")
-    lam = balance(small, goal, cap=cap).withColumnRenamed("source", "s_")  # a source without words has none
-    goal = materialize(goal.join(lam, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_"), "mix")
-    return _round(d, names, goal, cap)
-
-
-def _rated(d: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
-    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
-    g = goal.withColumnRenamed("source", "s_")
-    r = d.join(g, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    r = r.withColumn("rate", F.when(F.col("size") == 0, 1.0).when(full, float(cap)).otherwise(rate(F.col("lam"), F.col("size"), F.col("mean"), cap)))
-    r = r.withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("long"))
-    # before 0: taken at the expected rounding; the point moves from there to meet the target
-    place = F.col("u") - (F.col("rate") - F.col("whole"))
-    return r.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((place + 1) / 2 * BINS)).cast("int"))
-
-
-def _round(d: DataFrame, names: list[str], goal: DataFrame, cap: int) -> DataFrame:
-    own = [f"d{i}" for i in range(len(names))]
-    can = (F.col("whole") < cap) & (F.col("size") > 0)
-    bins = _rated(d.select("source", "size", "u"), goal, cap).groupBy("source", "bin").agg(F.sum(F.col("whole") * F.col("size")).alias("base"), F.sum(F.when(can, F.col("size")).otherwise(0)).alias("more"), F.first("target").alias("target"))
-    of = Window.partitionBy("source")
-    bins = bins.withColumn("upto", F.sum("base").over(of) + F.sum("more").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    # the last bin whose tokens bring the source nearer to its target, and what is still missing (or too much) then
-    nearer = F.abs(F.col("upto") - F.col("target")) < F.abs(F.col("upto") - F.col("more") - F.col("target"))
-    cut = bins.groupBy("source").agg(F.max(F.when(nearer, F.struct("bin", (F.col("target") - F.col("upto")).alias("rest")))).alias("c"), F.sum("base").alias("base"), F.first("target").alias("target"))
-    cut = cut.select(F.col("source").alias("s_"), F.coalesce(F.col("c.bin"), F.lit(-1)).alias("cut"), F.coalesce(F.col("c.rest"), F.col("target") - F.col("base")).alias("rest"))
-    g = materialize(goal.join(cut, F.col("source").eqNullSafe(F.col("s_"))).drop("s_"), "mix")
-    # one document a source is taken once more, or once less, where that closes the gap best
-    extra = can & (F.col("bin") <= F.col("cut"))
-    fits = F.when((F.col("rest") > 0) & can & ~extra, F.col("rest")).when((F.col("rest") < 0) & extra, -F.col("rest"))
-    one = _rated(d.select("source", "size", "u"), g, cap).withColumn("gap", F.abs(fits - F.col("size"))).filter(F.col("gap") < F.abs(F.col("rest")))
-    one = one.groupBy("source").agg(F.min(F.struct("gap", "u", "size")).alias("one")).select(F.col("source").alias("s_"), F.col("one.u").alias("u_"), F.col("one.size").alias("size_"))
-    g = materialize(g.join(one, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_"), "mix")
-    out = _rated(d, g, cap)
-    moved = F.coalesce((F.col("u") == F.col("u_")) & (F.col("size") == F.col("size_")), F.lit(False)).cast("long") * F.signum("rest").cast("long")
-    out = out.withColumn("copies", F.col("whole") + extra.cast("long") + moved)
-    return out.select(*[F.col(o).alias(n) for o, n in zip(own, names)], *[F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "rate", "copies")])
+    goal = materialize(goal.join(balance(hist, goal, cap), "key", "left"), "mix")
+    goal = _cuts(groups, goal, cap)
+
+    twins = materialize(groups.filter("n > 1"), "mix")
+    repeated = twins.count()
+    if repeated:
+        hashes = twins.select("h").distinct()
+        hashes = F.broadcast(hashes) if repeated <= BROADCAST_ROWS else hashes
+        ones = d.join(hashes, "h", "left_anti")
+        # rows of one group are dealt to salted ones by their place, written once
+        some = materialize(sized(d.join(hashes, "h", "left_semi")).withColumn("salt", (F.monotonically_increasing_id() % 4096).cast("int")), "mix")
+        by = ["key", "size", "h"]
+        counts = some.groupBy(*by, "salt").agg(F.count("*").alias("c"))
+        before = counts.select(*by, "salt", F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        some = some.withColumn("k", F.row_number().over(Window.partitionBy(*by, "salt").orderBy(F.lit(0))) - 1)
+        some = some.join(before, [*by, "salt"]).withColumn("k", F.col("k") + F.col("before")).join(twins, by, "left").withColumn("n", F.coalesce("n", F.lit(1))).drop("salt", "before")
+        rows = sized(ones).withColumns({"n": F.lit(1).cast("long"), "k": F.lit(0).cast("long")}).unionByName(some.withColumn("k", F.col("k").cast("long")))
+    else:
+        rows = sized(d).withColumns({"n": F.lit(1).cast("long"), "k": F.lit(0).cast("long")})
+    out = _rated(rows, goal, cap)
+    moved = F.when((F.col("h") == F.col("move_h")) & (F.col("size") == F.col("move_size")), F.signum("rest").cast("long")).otherwise(F.lit(0))
+    out = out.withColumn("copies", F.col("whole") + (F.col("k") < _more(F.col("cut")) + moved).cast("long"))
+    return out.select(*[F.col(a).alias(c) for c, a in at.items()], *[F.col(c).alias(f"mix_{c}") for c in RESULTS])

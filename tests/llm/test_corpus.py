@@ -51,8 +51,8 @@ def test_rates_solve_the_dual(spark):
     rnd = np.random.default_rng(1)
     rows = [(s, int(x), 1) for s in "ab" for x in rnd.lognormal(4, 1, 300)]
     total = {s: sum(x for t, x, _ in rows if t == s) for s in "ab"}
-    goal = spark.createDataFrame([(s, total[s], total[s] * f, 300) for s, f in (("a", 0.3), ("b", 2.2))], "source string, source_size long, target double, docs long")
-    lam = {r["source"]: r for r in mixing.balance(spark.createDataFrame(rows, "source string, size long, n long"), goal).collect()}
+    goal = spark.createDataFrame([(s, total[s], total[s] * f, 300) for s, f in (("a", 0.3), ("b", 2.2))], "key string, source_size long, target double, docs long")
+    lam = {r["key"]: r for r in mixing.balance(spark.createDataFrame(rows, "key string, size long, n long"), goal).collect()}
     for s, f in (("a", 0.3), ("b", 2.2)):
         rate = [min(3.0, np.exp(lam[s]["lam"] * x / lam[s]["mean"])) for t, x, _ in rows if t == s]
         assert sum(r * x for r, (t, x, _) in zip(rate, [r for r in rows if r[0] == s])) == pytest.approx(f * total[s], rel=1e-6)
@@ -73,11 +73,33 @@ def test_mix(spark, odd_docs, no_docs):
     want = brute_targets(sizes)
     for s in sizes:
         assert sum(r["mix_size"] * r["mix_copies"] for r in got if r["source"] == s) == pytest.approx(want[s], rel=0.01)
-    odd = mixing.mix(odd_docs)
-    assert odd.columns[: len(odd_docs.columns)] == odd_docs.columns and odd.count() == odd_docs.count() and mixing.mix(no_docs).count() == 0
+    odd = mixing.mix(odd_docs.withColumn("mix_size", F.lit("x")).withColumn("key", F.lit(1)).withColumn("h", F.lit(1)))
+    assert odd.columns[: len(odd_docs.columns) + 2] == [*odd_docs.columns, "key", "h"] and odd.columns.count("mix_size") == 1 and odd.count() == odd_docs.count() and mixing.mix(no_docs).count() == 0
     assert {r["mix_size"] for r in odd.filter("doc_id in (3, 4, 5)").collect()} == {0}
 
 
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Few rows many times over, null ids among them; every source meets its target within 2 %."""
+    text = lambda n, w="w": " ".join([w] * n)
+    rows = [(i, text(50), "a") for i in range(3)] * 100 + [(1000 + i, text(50), "b") for i in range(300)]
+    rows += [(None, text(20, f"z{i % 3}"), "c") for i in range(300)] + [(7, text(30), "d")] * 1000 + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pick = lambda rows: sorted(((r["doc_id"] or -1), r["source"] or "", r["text"] or "", r["mix_copies"]) for r in rows)
+    got = mixing.mix(df).collect()
+    assert pick(got) == pick(mixing.mix(df.repartition(5)).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert pick(got) == pick(mixing.mix(df).collect())
+    sizes = {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["mix_size"]
+    want = brute_targets(sizes)
+    for s in sizes:
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["mix_size"] * r["mix_copies"] for r in mine) == pytest.approx(want[s], rel=0.02)
+        assert all(0 <= r["mix_copies"] <= 3 and r["mix_source_size"] == sizes[s] and r["mix_target"] == pytest.approx(want[s]) for r in mine)
+    assert len(got) == len(rows)
+
+
 def test_mix_runs_no_python(spark, odd_docs):
     plan = mixing.mix(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
