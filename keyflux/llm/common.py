@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, table
 
-__all__ = ["SPACE", "connected", "fresh_path", "materialize", "release", "runs", "shared_dir", "table"]
+__all__ = ["SPACE", "connected", "forget", "fresh_path", "materialize", "release", "runs", "shared_dir", "table"]
 #: Characters that separate words, as a class for regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 _written: list[tuple[SparkSession, str]] = []
@@ -41,7 +41,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     ship(spark)
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._keyflux_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and nothing will read again, and let the JVM see which shuffles nothing holds any more: Spark deletes their files then."""
+    for t in tables:
+        _delete(spark, t._keyflux_path)
+        _written[:] = [(s, p) for s, p in _written if p != t._keyflux_path]
+    spark.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
@@ -49,9 +64,7 @@ def release(spark: SparkSession) -> None:
     keep = []
     for owner, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(owner, path)
         except Exception:  # noqa: BLE001 - the store may be gone already
             keep.append((owner, path))
     _written[:] = keep
