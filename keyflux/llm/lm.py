@@ -37,6 +37,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -125,7 +126,7 @@ def uniform(seed: np.ndarray, draw: np.ndarray | int) -> np.ndarray:
 
 
 #: Dishes with more customers than this are seated one dish after the other, the others side by side.
-FEW = 48
+FEW = 1024
 #: From this customer on the way to a dish's next new table is drawn at once.
 LATE = 1 << 16
 
@@ -375,18 +376,32 @@ class Chunk:
         place[order] = np.arange(len(order))
         ids, null, held, self.many, tokens = unpack(texts)
         self.ids, self.null, self.held = ids.astype(np.uint64).view(np.int64), null.astype(bool), held.astype(bool)
+        self.start = int(place[0])  # the empty word
+        place = place.astype(np.int32)
         self.tokens = place[tokens]
-        self.last = np.full(len(tokens), place[0])
-        self.last[1:] = self.tokens[:-1]
-        self.last[(np.cumsum(self.many) - self.many)[self.many > 0]] = place[0]
-        # distinct pairs by rising number, with their counts in training texts
-        self.key = self.last * len(order) + self.tokens
-        both = self.key * 2
+        del tokens, ids, null, held
+        both = self.before(0, len(self.tokens)).astype(np.int64)
+        both *= len(order)
+        both += self.tokens
+        both *= 2
         both += np.repeat(~self.held, self.many)
         both.sort()
-        cut = np.flatnonzero(np.concatenate([[True], both[1:] >> 1 != both[:-1] >> 1])) if len(both) else np.empty(0, np.int64)
-        self.count = np.add.reduceat(both & 1, cut) if len(cut) else cut
+        # distinct pairs by rising number, with their counts in training texts
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] >> 1 != both[:-1] >> 1
+        cut = np.flatnonzero(new)
         self.pairs = both[cut] >> 1
+        both &= 1
+        self.count = np.add.reduceat(both, cut) if len(cut) else cut
+
+    def before(self, a: int, b: int) -> np.ndarray:
+        """The words before tokens a to b, which begin and end with texts."""
+        out = np.empty(b - a, np.int32)
+        out[1:] = self.tokens[a : b - 1] if b > a else 0
+        starts = np.cumsum(self.many) - self.many
+        starts = starts[(self.many > 0) & (starts >= a) & (starts < b)]
+        out[starts - a] = self.start
+        return out
 
     def dealt(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         """The places of each shard's pairs in `pairs`."""
@@ -592,7 +607,7 @@ def _words_swept(spark: SparkSession, spelling: Spelling, before: float, discoun
             now = np.flatnonzero(some[part]) + a
             with np.errstate(over="ignore"):
                 t[now] = seat(c[now], np.exp(spelled[now]), max(before - 1, 0.0), discount, spread(h[now] + _U(seed)))
-            cell, back = np.unique(contexts.astype(np.int64) * SYMBOLS + symbols, return_inverse=True)
+            back, cell = pd.factorize(contexts.astype(np.int64) * SYMBOLS + symbols)
             cells.append(cell)
             counts.append(np.bincount(back, np.repeat(t[part], np.diff(np.append(starts, len(symbols))))))
         spelled = spelled.astype(np.float32)
@@ -778,22 +793,31 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int =
     end = (ends + STRENGTH / SYMBOLS) / (n + STRENGTH)
     end_score, go_on = math.log10(end), math.log10(1 - end)
 
-    def scored(held: dict) -> pa.RecordBatch:
+    def scored(held: dict) -> Iterator[pa.RecordBatch]:
         c = Chunk(held[3][0], held[2][0])
         seen, m, p, room = (np.concatenate(x) for x in zip(*map(unpack, held[0])))
-        old_ = np.zeros(len(c.pairs))
+        old_ = np.zeros(len(c.pairs), np.float32)
         if len(c.pairs):
             for (_, at), blob in zip(c.dealt(shards), held[1], strict=True):
                 customers, tables = unpack(blob)
                 old_[at] = customers - d_pair * tables / kept
-        own = old_[np.searchsorted(c.pairs, c.key)]
-        with np.errstate(divide="ignore"):
-            words = np.logaddexp(np.log(own / (STRENGTH + m[c.last])), np.log(room[c.last].astype(np.float64)) + p[c.tokens]) / math.log(10) + go_on
-        of = np.repeat(np.arange(len(c.many)), c.many)
-        add = lambda x: np.bincount(of, x, len(c.many))
+        held.clear()
         base = np.log10((seen + 0.5) / space)
-        cols = [(c.many + 1, pa.int64()), (add(seen[c.tokens] > 0).astype(np.int64) + end_known, pa.int64()), (np.full(len(c.many), n), pa.int64()), (add(base[c.tokens]) + end_base, pa.float64()), (add(words) + end_score, pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array(c.ids, pa.int64(), mask=c.null), pa.array(c.held), *(pa.array(x, k) for x, k in cols)], names=[x.split()[0] for x in SCORES.split(", ")])
+        stop = np.cumsum(c.many)
+        a = 0
+        while a < len(c.many):  # some texts at a time: half a million tokens, or one text
+            first = int(stop[a] - c.many[a])
+            b = max(a + 1, int(np.searchsorted(stop, first + 500_000, "right")))
+            many = c.many[a:b]
+            now, last = c.tokens[first : stop[b - 1]], c.before(first, int(stop[b - 1]))
+            own = old_[np.searchsorted(c.pairs, last.astype(np.int64) * len(c.h) + now)].astype(np.float64)
+            with np.errstate(divide="ignore"):
+                words = np.logaddexp(np.log(own / (STRENGTH + m[last])), np.log(room[last].astype(np.float64)) + p[now]) / math.log(10) + go_on
+            of = np.repeat(np.arange(len(many)), many)
+            add = lambda x, of=of, many=many: np.bincount(of, x, len(many))
+            cols = [(many + 1, pa.int64()), (add(seen[now] > 0).astype(np.int64) + end_known, pa.int64()), (np.full(len(many), n), pa.int64()), (add(base[now]) + end_base, pa.float64()), (add(words) + end_score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c.ids[a:b], pa.int64(), mask=c.null[a:b]), pa.array(c.held[a:b]), *(pa.array(x, k) for x, k in cols)], names=[x.split()[0] for x in SCORES.split(", ")])
+            a = b
 
     def work(batches):
         now, held = None, {}
@@ -801,10 +825,10 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int =
             for kind, other, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 if other != now:
                     if held:
-                        yield scored(held)
+                        yield from scored(held)
                     now, held = other, {}
                 held.setdefault(kind, []).append(blob)
         if held:
-            yield scored(held)
+            yield from scored(held)
 
     return rows.mapInArrow(work, SCORES)

@@ -242,9 +242,10 @@ def test_lm_probabilities_add_up(spark):
     assert 0.9 < total < 1 + 1e-6 and sum(each[w] for w in known) > 0.8
 
 
-@pytest.mark.parametrize("n, p, others, late", [(400, 0.3, 5.0, 1 << 16), (30, 0.3, 5.0, 1 << 16), (400, 0.3, 5.0, 60), (3000, 0.001, 900.0, 100)])
-def test_seating_follows_the_restaurant(n, p, others, late, monkeypatch):
+@pytest.mark.parametrize("n, p, others, few, late", [(400, 0.3, 5.0, 1024, 1 << 16), (400, 0.3, 5.0, 48, 1 << 16), (400, 0.3, 5.0, 48, 60), (3000, 0.001, 900.0, 48, 100)])
+def test_seating_follows_the_restaurant(n, p, others, few, late, monkeypatch):
     """Tables of the sampler, which skips customers that can't open one, and of customers seated one by one: mean, spread and quartiles."""
+    monkeypatch.setattr(lm, "FEW", few)
     monkeypatch.setattr(lm, "LATE", late)
     rnd, d = np.random.default_rng(0), 0.6
     fast = lm.seat(np.full(3000, n), np.full(3000, p), others, d, np.arange(3000, dtype=np.uint64) * np.uint64(977))
