@@ -15,7 +15,7 @@ Gets whose condition never comes stay unanswered.  Missing keys read as 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import RANGE, last_before, running_sums
@@ -111,8 +111,8 @@ def dispatch(log: DataFrame, models: list[int]) -> DataFrame:
     return log.filter(known & F.col("model_id").isin(models)).groupBy("model_id", "flag").agg(F.count("*").alias("n"))
 
 
-def barrier_rounds(log: DataFrame, tids: list[int]) -> DataFrame:
+def barrier_rounds(log: DataFrame, tids: list[int], width: int = RANGE) -> DataFrame:
     """(round, seq): when the last worker reaches each barrier, a Clock being an arrival."""
-    w = Window.partitionBy("tid").orderBy("seq")
-    arrivals = log.filter((F.col("flag") == "Clock") & F.col("tid").isin(tids)).withColumn("round", F.row_number().over(w))
-    return arrivals.groupBy("round").agg(F.max("seq").alias("seq"), F.count("*").alias("n")).filter(F.col("n") == len(tids)).select("round", "seq")
+    clocks = log.filter((F.col("flag") == "Clock") & F.col("tid").isin(tids)).select("tid", "seq")
+    arrivals = running_sums(clocks, "seq", {"round": F.lit(1)}, by=("tid",), width=width)
+    return arrivals.groupBy(F.col("round").cast("int").alias("round")).agg(F.max("seq").alias("seq"), F.count("*").alias("n")).filter(F.col("n") == len(tids)).select("round", "seq")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import APPEND_LOG, KV_STATE
+from ..session import discard, saved
+from .slices import jump_slice, range_slice
 
 #: A table is broadcast in a join up to so many rows (of 16 bytes).
 BROADCAST_ROWS = 1_000_000
@@ -66,23 +68,88 @@ def checked(keys: list[int], vals: list[float]) -> list[tuple[int, float]]:
     return list(zip(keys, map(float, vals)))
 
 
+class MapStorage:
+    """A value a key; the last write wins."""
+
+    schema = KV_STATE
+
+    def add(self, state: DataFrame, writes: DataFrame) -> DataFrame:
+        return upsert(state, writes)
+
+    def get(self, state: DataFrame, keys: DataFrame) -> DataFrame:
+        return get(state, keys)
+
+    def state(self, state: DataFrame) -> DataFrame:
+        """(key, val) of all keys."""
+        return state
+
+
+class AppendStorage(MapStorage):
+    """All writes are kept; a lookup takes the last."""
+
+    schema = APPEND_LOG
+
+    def add(self, state: DataFrame, writes: DataFrame) -> DataFrame:
+        return append(state, writes)
+
+    def get(self, state: DataFrame, keys: DataFrame) -> DataFrame:
+        return append_get(state, keys)
+
+    def state(self, state: DataFrame) -> DataFrame:
+        return put(state)
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Keys to servers by half-open ranges; those outside of all to the last."""
+
+    ranges: tuple[tuple[int, int], ...]
+
+    def server(self, keys: DataFrame) -> DataFrame:
+        return range_slice(keys, list(self.ranges))
+
+
+@dataclass(frozen=True)
+class Jump:
+    """Keys to so many servers by jump consistent hashing."""
+
+    servers: int = 1
+
+    def server(self, keys: DataFrame) -> DataFrame:
+        return jump_slice(keys, self.servers)
+
+
+STORAGES = {"map": MapStorage, "append": AppendStorage}
+#: A table is written, which cuts its lineage, after so many batches of writes.
+WRITE_EVERY = 4
+
+
 @dataclass
 class Store:
-    """Registry of tables by number: each a last-writer-wins state or an append log, with its clocks."""
+    """Registry of tables by number: each with a storage, a partitioner, a consistency model and its workers' clocks.
+
+    A storage is "map", "append" or any object with MapStorage's methods; a
+    partitioner any object with Jump's.
+    """
 
     spark: SparkSession
     tables: dict[int, DataFrame] = field(default_factory=dict)
-    kinds: dict[int, str] = field(default_factory=dict)
+    kinds: dict[int, MapStorage] = field(default_factory=dict)
+    partitioners: dict[int, Jump | Ranges] = field(default_factory=dict)
     models: dict[int, tuple[str, int]] = field(default_factory=dict)
     clocks: dict[int, dict[int, int]] = field(default_factory=dict)
     _seq: int = 0
+    _adds: dict[int, int] = field(default_factory=dict)
+    _kept: dict[int, DataFrame] = field(default_factory=dict)
 
-    def create(self, storage: str = "map", model: str = "bsp", staleness: int = 0) -> int:
-        if storage not in ("map", "append") or model not in ("asp", "bsp", "ssp"):
+    def create(self, storage: str | MapStorage = "map", model: str = "bsp", staleness: int = 0, partitioner: Jump | Ranges | None = None) -> int:
+        if isinstance(storage, str) and storage not in STORAGES or model not in ("asp", "bsp", "ssp"):
             raise ValueError(f"no such storage or model: {storage}, {model}")
         number = len(self.tables)
-        self.tables[number] = self.spark.createDataFrame([], KV_STATE if storage == "map" else APPEND_LOG)
-        self.kinds[number], self.models[number], self.clocks[number] = storage, (model, staleness), {}
+        self.kinds[number] = STORAGES[storage]() if isinstance(storage, str) else storage
+        self.tables[number] = self.spark.createDataFrame([], self.kinds[number].schema)
+        self.partitioners[number] = partitioner or Jump()
+        self.models[number], self.clocks[number] = (model, staleness), {}
         return number
 
     def reset_workers(self, number: int, tids: list[int]) -> None:
@@ -95,12 +162,31 @@ class Store:
 
     def add_rows(self, number: int, writes: DataFrame) -> None:
         """Writes (seq, key, val) of any size."""
-        old = self.tables[number]
-        self.tables[number] = upsert(old, writes) if self.kinds[number] == "map" else append(old, writes)
+        now = self.kinds[number].add(self.tables[number], writes)
+        self._adds[number] = self._adds.get(number, 0) + 1
+        if self._adds[number] % WRITE_EVERY == 0:
+            now = saved(now, f"table-{number}")
+            discard(self._kept.get(number))
+            self._kept[number] = now
+        self.tables[number] = now
+
+    def add_ordered(self, number: int, writes: DataFrame) -> None:
+        """Writes (seq, key, val) whose seq is any order of their own; they come after all earlier writes."""
+        last = writes.groupBy("key").agg(F.max_by("val", "seq").alias("val")).withColumn("seq", F.lit(self._seq).cast("long"))
+        self._seq += 1
+        self.add_rows(number, last.select("seq", "key", "val"))
 
     def get(self, number: int, keys: list[int]) -> DataFrame:
         wanted = self.spark.createDataFrame([(k,) for k in keys], "key BIGINT")
-        return (get if self.kinds[number] == "map" else append_get)(self.tables[number], wanted).orderBy("key")
+        return self.kinds[number].get(self.tables[number], wanted).orderBy("key")
+
+    def state(self, number: int) -> DataFrame:
+        """(key, val) of a whole table."""
+        return self.kinds[number].state(self.tables[number])
+
+    def slices(self, number: int) -> DataFrame:
+        """(key, val, server): which server has each key."""
+        return self.partitioners[number].server(self.state(number))
 
     def clock(self, number: int, tid: int) -> int:
         """Advance a worker; the new least clock if it moved, else -1."""

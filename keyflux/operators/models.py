@@ -12,17 +12,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kv import _small, upsert
+from ..session import saved
+from .kv import upsert
+from .ordered import first_rows
 
 
-def attach(samples: DataFrame, weights: DataFrame, rows: int | None = None, bias: bool = True) -> DataFrame:
+#: Weights with keys below this are looked up in one array, sent to every task; others are joined by exchange.
+DENSE_ROWS = 1_000_000
+
+
+def attach(samples: DataFrame, weights: DataFrame, rows: int | None = None, bias: bool = True, prefetch: bool = False) -> DataFrame:
     """samples with w: array of (idx, x, val) by idx, and with bias w0, the value of key 0.
 
-    Features are joined with the weights by key; rows is the table's size, if
-    known, and decides on a broadcast.
+    rows, if known, is a number that all keys are below.  Up to DENSE_ROWS the
+    weights become one array (8 bytes a key) and each feature a lookup in it;
+    else features are joined with the weights by key.  prefetch first reduces
+    the weights to the samples' own keys.
     """
+    if rows is not None and rows <= DENSE_ROWS:
+        all_ = samples.sparkSession.range(rows).select(F.col("id").alias("key")).join(weights, "key", "left")
+        dense = all_.agg(F.transform(F.array_sort(F.collect_list(F.struct("key", F.coalesce("val", F.lit(0.0)).alias("val")))), lambda e: e["val"]).alias("_dense"))  # DENSE_ROWS at most
+        entry = lambda f: F.struct(f["idx"].cast("long").alias("key"), f["x"].alias("x"), F.coalesce(F.get("_dense", f["idx"]), F.lit(0.0)).alias("val"))
+        out = samples.join(F.broadcast(dense)).withColumn("w", F.transform("features", entry)).drop("features")
+        return (out.withColumn("w0", F.coalesce(F.get("_dense", F.lit(0)), F.lit(0.0))) if bias else out).drop("_dense")
     long = samples.select("sample_id", F.explode("features").alias("f")).select("sample_id", F.col("f.idx").cast("long").alias("key"), F.col("f.x").alias("x"))
-    hit = long.join(_small(weights, rows), "key", "left").select("sample_id", F.struct("key", "x", F.coalesce("val", F.lit(0.0)).alias("val")).alias("e"))
+    if prefetch:
+        weights = weights.join(long.select("key").union(samples.sparkSession.range(1).select(F.col("id").alias("key"))).distinct(), "key", "left_semi")
+    hit = long.distinct().join(weights, "key", "left").select("sample_id", F.struct("key", "x", F.coalesce("val", F.lit(0.0)).alias("val")).alias("e"))
     out = samples.drop("features").join(hit.groupBy("sample_id").agg(F.array_sort(F.collect_list("e")).alias("w")), "sample_id")  # as many as a sample has features
     if not bias:
         return out
@@ -60,8 +76,8 @@ def lr_push(attached: DataFrame, alpha: float, compat: bool = True) -> DataFrame
     return s.select("b", "worker", F.explode(F.concat(bias, F.transform("w", entry))).alias("e")).select("e.key", "e.val", "b", "worker")
 
 
-def lr_step(samples: DataFrame, weights: DataFrame, alpha: float = 1e-4, compat: bool = True, rows: int | None = None) -> DataFrame:
-    return upsert(weights, lr_push(attach(samples, weights, rows), alpha, compat), ["b", "worker"])
+def lr_step(samples: DataFrame, weights: DataFrame, alpha: float = 1e-4, compat: bool = True, rows: int | None = None, prefetch: bool = False) -> DataFrame:
+    return upsert(weights, lr_push(attach(samples, weights, rows, prefetch=prefetch), alpha, compat), ["b", "worker"])
 
 
 def lr_predict(samples: DataFrame, weights: DataFrame, compat: bool = False, rows: int | None = None) -> DataFrame:
@@ -144,18 +160,25 @@ def mf_predict(attached: DataFrame, mean: Column | float) -> DataFrame:
 
 
 def mf_step(ratings: DataFrame, users: DataFrame, items: DataFrame, mean: float | Column, rank: int = 10, alpha: float = 1e-4, beta: float = 0.02, zero: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(users, items) after a superstep: each row's last rating by pos decides; the item's update uses the user's new factors."""
+    """(users, items) after a superstep: each row's last rating by pos decides; the item's update uses the user's new factors.
+
+    Every rating is joined once; what it pushes to its user and its item is one
+    written table, of which each row's last push is kept.
+    """
     p = mf_predict(attach_factors(ratings, users, items, rank, zero), mean)
     new_u = F.zip_with("u", "v", lambda a, b: a + alpha * (F.col("err") * b - beta * a))
     p = p.withColumn("nu", new_u)
     p = p.withColumn("nv", F.zip_with("v", "nu", lambda b, a: b + alpha * (F.col("err") * a - beta * b)))
-    p = p.withColumns({"nbu": F.col("bu") + alpha * (F.col("err") - beta * F.col("bu")), "nbi": F.col("bi") + alpha * (F.col("err") - beta * F.col("bi"))})
+    bias = lambda b: F.col(b) + alpha * (F.col("err") - beta * F.col(b))
+    push = lambda side, id_, b, f: F.struct(F.lit(side).alias("side"), F.col(id_).cast("long").alias("id"), bias(b).alias("bias"), F.col(f).alias("f"))
+    pushed = p.select("pos", F.explode(F.array(push("user", "user", "bu", "nu"), push("item", "item", "bi", "nv"))).alias("e")).select("pos", "e.*")
+    pushed = saved(pushed.groupBy("side", "id").agg(F.max_by(F.struct("bias", "f"), "pos").alias("n")), "mf")
 
-    def merged(old: DataFrame, side: str, bias: str, f: str) -> DataFrame:
-        new = p.groupBy(F.col(side).alias("id")).agg(F.max_by(F.struct(F.col(bias).alias("bias"), F.col(f).alias("f")), "pos").alias("n"))
+    def merged(old: DataFrame, side: str) -> DataFrame:
+        new = pushed.filter(F.col("side") == side).drop("side")
         return old.join(new, "id", "full").select("id", F.coalesce("n.bias", "bias").alias("bias"), F.coalesce("n.f", "f").alias("f"))
 
-    return merged(users, "user", "nbu", "nu"), merged(items, "item", "nbi", "nv")
+    return merged(users, "user"), merged(items, "item")
 
 
 def mf_error(ratings: DataFrame, users: DataFrame, items: DataFrame, mean: DataFrame, rank: int = 10, first: int = 5000) -> DataFrame:
@@ -174,23 +197,32 @@ def factors_long(side: str, table: DataFrame) -> DataFrame:
 # --- batches -----------------------------------------------------------------------
 
 
-def hold_out_last(samples: DataFrame, n: int, order: str, exclude: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(training, test): the test set is the last n by order; it is trained on as well unless excluded."""
-    test = samples.orderBy(F.col(order).desc()).limit(n)
+def hold_out_last(samples: DataFrame, n: int, order: str, exclude: bool = True, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(training, test): the test set is the last n by order, of each `by` if given; it is trained on as well unless excluded."""
+    if by:
+        test = first_rows(samples, n, [by], [F.col(order).desc()], [order]).drop("_rank")
+    else:
+        test = samples.orderBy(F.col(order).desc()).limit(n)
     train = samples.join(test.select(F.col(order).alias("_o")), F.col(order) == F.col("_o"), "left_anti") if exclude else samples
     return train, test
 
 
-def batch(samples: DataFrame, size: int, by: str, order: str) -> DataFrame:
-    """(by, b, order): position b of each worker's batch takes its sample b mod n; batches larger than n come round again."""
-    from pyspark.sql import Window
-
-    s = samples.select(by, order).withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
-    s = s.withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    s = s.filter(F.col("_rank") < size)
-    return s.select(by, F.explode(F.sequence(F.col("_rank"), F.lit(size - 1), F.col("_n").cast("int"))).alias("b"), order)
+def batch(samples: DataFrame, size: int | DataFrame, by: str, order: str, place: Column | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """samples with b: position b of each worker's batch takes its sample b mod n; batches larger than n come round again.
 
-
-def shuffled(samples: DataFrame, seed: int, order: str) -> DataFrame:
-    """samples with `place`, a pseudo-random order that depends on seed and id alone."""
-    return samples.withColumn("place", F.xxhash64(F.lit(seed), F.col(order)))
+    size is a number or a table (by, size); samples are in order of place, then
+    order; counts (by, _n) saves counting them anew.
+    """
+    place = F.col(order) if place is None else place
+    s = samples.withColumn("_place", place).drop("b")
+    counts = samples.groupBy(by).agg(F.count("*").alias("_n")) if counts is None else counts
+    most = size if isinstance(size, int) else size.agg(F.max("size")).first()[0]
+    s = first_rows(s, most, [by], [F.col("_place"), F.col(order)], [order]).join(counts, by)
+    s = s.withColumn("_size", F.lit(size)) if isinstance(size, int) else s.join(size.select(by, F.col("size").alias("_size")), by)
+    positions = F.sequence(F.col("_rank"), F.col("_size") - 1, F.col("_n").cast("int"))
+    return s.filter(F.col("_rank") < F.col("_size")).withColumn("b", F.explode(positions)).drop("_place", "_rank", "_n", "_size")
+
+
+def shuffled(order: str, seed: int, iteration: int) -> Column:
+    """A pseudo-random place that depends on seed, iteration and id alone."""
+    return F.md5(F.concat(F.lit(f"{seed}:{iteration}:"), F.col(order).cast("string")).cast("binary"))

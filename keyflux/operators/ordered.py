@@ -40,3 +40,14 @@ def last_before(df: DataFrame, key: str, at: str, order: list[str], value: Colum
     inside = Window.partitionBy(key, "_range").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_here", F.last("_v", ignorenulls=True).over(inside)).join(carry, [key, "_range"])
     return d.withColumn("_last", F.coalesce("_here", "_carry")).drop("_range", "_v", "_here", "_carry")
+
+
+def first_rows(df: DataFrame, n: int, by: list[str], order: list[Column], salt: list[str], salts: int = 64) -> DataFrame:
+    """The first n rows of each group by order, with `_rank` from 0.
+
+    Groups are cut to n rows in salted parts first (by hash of the salt
+    columns), then as a whole: one of any size is no task's alone.
+    """
+    d = df.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(salts)))
+    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))).filter(F.col("_rank") <= n).drop("_salt")
+    return d.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).filter(F.col("_rank") < n)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import first_rows
+
 
 def summary(timings: DataFrame, by: str = "tid", value: str = "dur_us", throw_away: int = 0, order: str = "seq") -> DataFrame:
     """(by, n, total, mean, st_dev) in whole numbers: the mean cut off, the deviation around it, variance and root cut off.
@@ -13,7 +15,8 @@ def summary(timings: DataFrame, by: str = "tid", value: str = "dur_us", throw_aw
     """
     t = timings
     if throw_away:
-        t = t.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("_n") > throw_away)
+        gone = first_rows(t.select(by, order), throw_away, [by], [F.col(order)], [order]).drop("_rank")
+        t = t.join(gone, [by, order], "left_anti")
     s = t.groupBy(by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(F.col(value).cast("decimal(38,0)") * F.col(value)).alias("_squares"))
     s = s.withColumn("mean", F.expr("total div n"))
     # sum((x - mean)^2) = sum(x^2) - 2 mean sum(x) + n mean^2, exactly
@@ -23,9 +26,12 @@ def summary(timings: DataFrame, by: str = "tid", value: str = "dur_us", throw_aw
 
 def last_n(timings: DataFrame, ns: dict[str, int | None], by: str = "tid", value: str = "dur_us", order: str = "seq") -> DataFrame:
     """Sum of each series' last n durations, all for None; fewer where a series is shorter."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))
-    t = timings.withColumn("_rank", rank)
-    return t.groupBy(by).agg(*[F.sum(F.when(F.col("_rank") <= n, F.col(value)) if n else F.col(value)).alias(k) for k, n in ns.items()])
+    out = timings.groupBy(by).agg(*[F.sum(value).alias(k) for k, n in ns.items() if not n], F.lit(0).alias("_"))
+    some = {k: n for k, n in ns.items() if n}
+    if some:
+        last = first_rows(timings.select(by, order, value), max(some.values()), [by], [F.col(order).desc()], [order])
+        out = out.join(last.groupBy(by).agg(*[F.sum(F.when(F.col("_rank") < n, F.col(value))).alias(k) for k, n in some.items()]), by)
+    return out.select(by, *ns)
 
 
 def sum_by_iteration(timings: DataFrame, value: str = "dur_us") -> DataFrame:
@@ -73,6 +79,13 @@ class Timer:
         self.times.append(self._sum // 1000)
         return self.times[-1]
 
+    def measure(self, function, *args):
+        """Run function and record how long it took; its result."""
+        self.start()
+        out = function(*args)
+        self.stop()
+        return out
+
     def reset(self) -> None:
         self.times.clear()
 

@@ -28,7 +28,7 @@ class Params:
     transient: bool = False
     permanent: bool = False
     prefetch: bool = False
-    holdout: bool = True
+    holdout: bool = False
     test_rows: int = 10_000
 
     def checked(self, *needed: str) -> Params:

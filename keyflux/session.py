@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,41 @@ def ship(spark: SparkSession) -> None:
     sc._keyflux_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset a local master gets a temporary one; on a cluster each
+    machine would have its own, so that raises.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="keyflux-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: cuts lineage, survives lost executors. discard() deletes it."""
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_dir(spark)}/keyflux/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._keyflux_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that saved() wrote; nothing may read it later. Other tables are left alone."""
+    path = getattr(df, "_keyflux_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,3 +72,37 @@ def binarized(images: DataFrame, threshold: float = 30.0) -> DataFrame:
 
 def normalized(images: DataFrame) -> DataFrame:
     return images.withColumn("pixels", normalize(F.col("pixels")))
+
+
+def _write(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
+    """A file of the bytes given, by Hadoop's file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for part in parts:
+            out.write(part)
+    finally:
+        out.close()
+
+
+def _rows(df: DataFrame, size: int = 10_000) -> Iterator[np.ndarray]:
+    """Values of the one column of df, in its order, some rows at a time: an IDX file is one file, so one machine writes it."""
+    held = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row[0])
+        if len(held) == size:
+            yield np.asarray(held, np.uint8)
+            held = []
+    if held:
+        yield np.asarray(held, np.uint8)
+
+
+def write_images(pixels: DataFrame, path: str, height: int, width: int) -> None:
+    """One IDX file of the images (arrays of height * width numbers below 256) in the order of pixels."""
+    head = struct.pack(">IIII", IMAGES, pixels.count(), height, width)
+    _write(pixels.sparkSession, path, chain([head], (a.tobytes() for a in _rows(pixels))))
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    head = struct.pack(">II", LABELS, labels.count())
+    _write(labels.sparkSession, path, chain([head], (a.tobytes() for a in _rows(labels))))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,53 @@ def batches(df: DataFrame, size: int):
         yield held
 
 
+def prefetched(items: Iterable, depth: int = 2) -> Iterator:
+    """items, the next `depth` of them fetched by a thread while one is worked on; its errors are raised here."""
+    ready: queue.Queue = queue.Queue(depth)
+    gone = threading.Event()
+
+    def put(item) -> bool:
+        while not gone.is_set():
+            try:
+                ready.put(item, timeout=0.1)
+                return True
+            except queue.Full:
+                continue
+        return False
+
+    def produce():
+        try:
+            for item in items:
+                if not put((item, None)):
+                    return
+            put((None, StopIteration()))
+        except BaseException as error:  # noqa: BLE001 - handed to the consumer
+            put((None, error))
+
+    threading.Thread(target=produce, daemon=True).start()
+    try:
+        while True:
+            item, error = ready.get()
+            if isinstance(error, StopIteration):
+                return
+            if error:
+                raise error
+            yield item
+    finally:
+        gone.set()
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str, size: int = 1000, depth: int = 2) -> DataFrame:
+    """function over pandas frames of at most `size` rows, on the executors; each worker cuts and converts frames ahead of their use."""
+
+    def work(frames):
+        parts = (f.iloc[a : a + size] for f in frames for a in range(0, len(f), size))
+        for part in prefetched(parts, depth):
+            yield function(part)
+
+    return df.mapInPandas(work, schema)
+
+
 def split_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(keep..., line_no, line): the lines of a text column; an empty end after the last "\\n" is no line."""
     parts = F.split(F.col(text), "\n", -1)
@@ -89,17 +140,24 @@ def parse_nodes(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.filter((F.trim(value) != "") & ~F.trim(value).startswith("#")).select(p[0].cast("long").alias("id"), p[1].alias("hostname"), p[2].cast("int").alias("port"))
 
 
-#: Parts of a URL by group: scheme, user, password, host, port, path, query, fragment.
-URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://(?:([^:@/?#]*)(?::([^@/?#]*))?@)?(\[[^\]]*\]|[^:/?#]*)(?::(\d*))?)?(?:/?([^?#]*))?(?:\?([^#]*))?(?:#(.*))?$"
+#: Parts of a URL by group: scheme, user, password, host, port, path, query, fragment. Schemes hold letters, "+", "-" and
+#: "."; "//" is needed; an "@" before the first "/" ends user and password; a host in brackets ends at "]"; a port runs to
+#: the next "/"; "?" and "#" count in the path alone. No part is tried twice.
+URL = r"(?s)\A([A-Za-z+.-]*+)://(?:(?=[^/@]*+@)([^:@/]*+)(?::([^@/]*+))?+@)?+(\[[^\]]*+(?:\]|\z)|(?!\[)[^:/]*+)(?::([^/]*+))?+(?:/([^?#]*+)(?:\?([^#]*+))?+(?:#(.*+))?+)?+\z"
 
 
 def parse_url(df: DataFrame, url: str, keep: list[str], default_host: str = "localhost", default_port: int = 9000) -> DataFrame:
-    """(keep..., valid, scheme, user, password, host, port, path, query, fragment); absent parts are empty, host and port have defaults."""
-    part = lambda i: F.regexp_extract(F.col(url), URL, i)
+    """(keep..., valid, scheme, user, password, host, port, path, query, fragment).
+
+    Absent parts are empty, as are all of an invalid URL; an empty host and port
+    have defaults; a port is the number it begins with, null if it begins with
+    none.
+    """
+    part = lambda i: F.coalesce(F.regexp_extract(F.col(url), URL, i), F.lit(""))
     valid = F.coalesce(F.col(url).rlike(URL), F.lit(False))
-    text = lambda i: F.coalesce(part(i), F.lit(""))
-    host = F.when(text(4) == "", default_host).otherwise(text(4))
-    return df.select(*keep, valid.alias("valid"), F.lower(text(1)).alias("scheme"), text(2).alias("user"), text(3).alias("password"), host.alias("host"), F.coalesce(text(5).try_cast("int"), F.lit(default_port)).alias("port"), text(6).alias("path"), text(7).alias("query"), text(8).alias("fragment"))
+    host = F.when(part(4) == "", default_host).otherwise(part(4))
+    port = F.when(part(5) == "", default_port).otherwise(F.regexp_extract(part(5), r"^\s*([+-]?\d+)", 1).try_cast("int"))
+    return df.select(*keep, valid.alias("valid"), F.lower(part(1)).alias("scheme"), part(2).alias("user"), part(3).alias("password"), host.alias("host"), port.alias("port"), part(6).alias("path"), part(7).alias("query"), part(8).alias("fragment"))
 
 
 #: The tags of statistics lines.
@@ -122,3 +180,8 @@ def parse_stats(lines: DataFrame, tags: tuple[str, ...] = STAT_TAGS, value: str
 def write_stats(stats: DataFrame, path: str) -> None:
     """One CSV folder per tag, as a partition of path."""
     stats.write.mode("overwrite").partitionBy("stat_type").csv(path)
+
+
+def write_totals(totals: DataFrame, path: str) -> None:
+    """(iter, total) as text lines "iter total", by iteration within each file."""
+    totals.sortWithinPartitions("iter").select(F.concat_ws(" ", F.col("iter").cast("string"), F.col("total").cast("string")).alias("value")).write.mode("overwrite").text(path)

@@ -26,6 +26,8 @@ def test_jump_hash_goldens(spark):
     keys = spark.createDataFrame([(i, k) for i, k in enumerate([2, 8, 9, 10, 11, 12, 13])], "pos int, key long")
     got = [(r["server"], r["keys"]) for r in slices.slice_batches(slices.jump_slice(keys, 3)).collect()]
     assert got == [(0, [2, 8, 13]), (2, [9, 10, 11]), (1, [12])]
+    pairs = slices.slice_batches(slices.jump_slice(keys.withColumn("val", F.col("key") / 10), 3), val="val", size=2).collect()
+    assert [(r["server"], r["batch"], r["keys"], r["vals"]) for r in pairs] == [(0, 0, [2, 8], [0.2, 0.8]), (2, 0, [9, 10], [0.9, 1.0]), (2, 1, [11], [1.1]), (1, 0, [12], [1.2]), (0, 1, [13], [1.3])]
 
 
 @given(st.integers(0, 2**62), st.integers(1, 50))
@@ -48,7 +50,15 @@ def test_jump_hash_by_hand():
 
 def test_range_slices(spark):
     keys = spark.createDataFrame([(2,), (8,), (9,), (1,), (99,)], "key long")
-    assert rows(slices.range_slice(keys, [(2, 4), (4, 7), (7, 10)])) == [(1, 2), (2, 0), (8, 2), (9, 2), (99, 2)]
+    want = [(1, 2), (2, 0), (8, 2), (9, 2), (99, 2)]
+    assert rows(slices.range_slice(keys, [(2, 4), (4, 7), (7, 10)])) == want
+    table = lambda r: spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(r)], "server int, first long, stop long")
+    assert rows(slices.range_slice_table(keys, table([(2, 4), (4, 7), (7, 10)]))) == want
+    rnd = random.Random(4)
+    many = [(a, a + rnd.randrange(0, 90)) for a in (rnd.randrange(-500, 500) for _ in range(40))]
+    got = dict(rows(slices.range_slice_table(spark.range(-600, 700).withColumnRenamed("id", "key"), table(many))))
+    order = sorted((a, b, i) for i, (a, b) in enumerate(many))
+    assert got == {k: next((i for a, b, i in order if a <= k < b), order[-1][2]) for k in range(-600, 700)}
 
 
 def test_id_mapping(spark):
@@ -58,7 +68,11 @@ def test_id_mapping(spark):
     with pytest.raises(ValueError):
         slices.server_threads(nodes, 50)
     spec = spark.createDataFrame([(0, 3), (1, 2)], "node long, num long")
-    assert rows(slices.allocate_workers(spec)) == [(0, 0, 100), (1, 0, 101), (2, 0, 102), (3, 1, 1100), (4, 1, 1101)]
+    workers = slices.allocate_workers(spec)
+    assert rows(workers) == [(0, 0, 100), (1, 0, 101), (2, 0, 102), (3, 1, 1100), (4, 1, 1101)]
+    left = slices.deallocate_workers(workers, spark.createDataFrame([(0, 102), (7, 1)], "node long, tid long"))
+    assert rows(slices.threads_of(left, 0), "tid") == [(100,), (101,)] and slices.threads_of(left, 9).count() == 0
+    assert rows(slices.allocate_worker(nodes, left, spark.createDataFrame([(0,), (3,), (5,)], "node long"))) == [(0, 102), (3, 3100), (5, -1)]
 
 
 def test_store(spark):
@@ -156,7 +170,8 @@ def test_statistics(spark):
     assert (s["n"], s["mean"]) == (9, 5_000_000)
     timer = stats.Timer()
     timer.start(), timer.pause(), timer.resume(), timer.stop()
-    assert len(timer.times) == 1 and stats.measure(lambda: 7, repeat=2, warm_up=1)[0] == 7
+    assert timer.measure(lambda x: x + 1, 4) == 5 and len(timer.times) == 2
+    assert stats.measure(lambda: 7, repeat=2, warm_up=1)[0] == 7
 
 
 def test_parsers(spark, tmp_path):
@@ -173,6 +188,13 @@ def test_parsers(spark, tmp_path):
     assert text.list_files(spark, str(tmp_path / "l")).first()["blocks"] == 1
     urls = spark.createDataFrame([("hdfs://u:p@h:9001/a/b?x=1#f",), ("hdfs:///data",), ("nothing",)], "url string")
     got = {r["url"]: (r["valid"], r["host"], r["port"], r["path"], r["user"]) for r in text.parse_url(urls, "url", ["url"]).collect()}
+    odd = ["mailto:x", "http:/a/b", "http://h:12ab/p", "a1://h", "://h/x", "http://a:b:c@h/p", "http://u@h:1", "http://[::1]:80/x", "http://[::1]x", "http://[::1", "http://h?q/p?x#y#z", "http://h/p#f?x", "", "http://", "http://h:ab/"]
+    parts = {r["url"]: tuple(r)[1:] for r in text.parse_url(spark.createDataFrame([(u,) for u in [*odd, None]], "url string"), "url", ["url"]).collect()}
+    bad = (False, "", "", "", "localhost", 9000, "", "", "")
+    assert [parts[u] for u in ("mailto:x", "http:/a/b", "a1://h", "http://[::1]x", "", None)] == [bad] * 6
+    assert parts["http://h:12ab/p"][4:7] == ("h", 12, "p") and parts["://h/x"][:7] == (True, "", "", "", "h", 9000, "x") and parts["http://h:ab/"][4:6] == ("h", None)
+    assert parts["http://a:b:c@h/p"][2:6] == ("a", "b:c", "h", 9000) and parts["http://u@h:1"][2:6] == ("u", "", "h", 1) and parts["http://[::1]:80/x"][4:7] == ("[::1]", 80, "x")
+    assert parts["http://[::1"][4] == "[::1" and parts["http://h?q/p?x#y#z"][4:] == ("h?q", 9000, "p", "x", "y#z") and parts["http://h/p#f?x"][6:] == ("p", "", "f?x") and parts["http://"][:5] == (True, "http", "", "", "localhost")
     assert got["hdfs://u:p@h:9001/a/b?x=1#f"] == (True, "h", 9001, "a/b", "u") and got["hdfs:///data"][1:4] == ("localhost", 9000, "data") and not got["nothing"][0]
 
 
@@ -199,18 +221,92 @@ def test_models_learn_and_tasks_run(spark):
         data.append((i, y, i // 4, i % 4, [(1, float(4 * y - 2 + rnd.normal() * 0.1))]))
     s = spark.createDataFrame(data, "sample_id long, y int, b long, worker long, features array<struct<idx:int,x:double>>")
     w = spark.createDataFrame([(k, 0.0) for k in range(3)], "key long, val double")
-    w = job.train_lr(s, w, Params(n_iters=4, alpha=0.5), compat=False)
-    assert models.accuracy(models.lr_predict(s, w)).first()["accuracy"] > 90
-    alloc = slices.allocate_workers(spark.createDataFrame([(0, 4)], "node long, num long"))
-    task = job.Task()
-    assert not task.is_set_up()
-    task = job.Task(lambda info, pdf: pdf.groupby("worker_id", as_index=False).agg(n=("y", "size")).assign(tid=info.thread_id), alloc, [0])
-    assert rows(task.run(s.select(F.col("worker").alias("worker_id"), "y"), "worker_id long, n long, tid long")) == [(i, 15, 100 + i) for i in range(4)]
-    assert len(sweep(Params(), n_iters=[1, 2], batch_size=[10, 20, 30])) == 6
+    trained = job.train_lr(s, w, Params(n_iters=4, batch_size=15, alpha=0.5), compat=False)
+    assert models.accuracy(models.lr_predict(s, trained.state[0])).first()["accuracy"] > 90
     with pytest.raises(ValueError):
         Params().checked()
 
 
+def test_tasks_use_tables_and_report_times(spark):
+    alloc = slices.allocate_workers(spark.createDataFrame([(0, 4)], "node long, num long"))
+    store = kv.Store(spark)
+    t = store.create("map")
+    store.add(t, [7], [0.5])
+    assert not job.Task().is_set_up()
+
+    def count(info, frames):
+        import pandas as pd
+
+        n = sum(len(f) for f in frames)
+        info.tables[0].add([info.worker_id, 9], [n + info.tables[0].get([7])[0], float(info.worker_id)])
+        info.report_time(10.0 * (1 + 9 * (info.worker_id == 3)))
+        yield pd.DataFrame({"worker_id": [info.worker_id], "n": [n], "tid": [info.thread_id]})
+
+    task = job.Task(count, alloc, [t], scheduler=schedule.rebalance)
+    data = spark.range(60).select((F.col("id") % 4).alias("worker_id"), "id")
+    assert rows(task.run(data, "worker_id long, n long, tid long", store)) == [(i, 15, 100 + i) for i in range(4)]
+    assert rows(store.state(t)) == [(0, 15.5), (1, 15.5), (2, 15.5), (3, 15.5), (7, 0.5), (9, 3.0)]
+    assert task.workloads == {100: 107, 101: 107, 102: 106, 103: 80}
+
+
+def test_training_honours_its_parameters(spark):
+    """Against supersteps in plain Python: batches in an order drawn anew, hold-out, scheduler, injected delays; prefetch and joins give the same."""
+    import hashlib
+
+    rnd = np.random.default_rng(5)
+    data = [(i, i % 2, i % 4, [(k, float(rnd.normal())) for k in sorted(rnd.choice(np.arange(1, 8), 3, replace=False).tolist())]) for i in range(50)]
+    s = spark.createDataFrame(data, "sample_id long, y int, worker long, features array<struct<idx:int,x:double>>")
+    w0 = spark.createDataFrame([(k, 0.1) for k in range(8)], "key long, val double")
+    p = Params(n_iters=5, batch_size=14, alpha=0.2, holdout=True, test_rows=3, refresh_rate=2, permanent=True, straggler_percent=900.0)
+
+    def plain():
+        w, published = {k: 0.1 for k in range(8)}, dict.fromkeys(range(4), 14)
+        loads, seen = dict(published), []
+        for i in range(5):
+            if i % 2 == 0:
+                loads = dict(published)
+            push = {}
+            for worker in range(4):
+                mine = sorted(d[0] for d in data if d[2] == worker)[:-3]
+                mine.sort(key=lambda k: (hashlib.md5(f"0:{i}:{k}".encode()).hexdigest(), k))  # noqa: B023
+                for b in range(loads[worker]):
+                    _, y, _, f = data[mine[b % len(mine)]]
+                    score = w[0] + sum(w[k] * x for k, x in f)
+                    g = w[0] + sum(x for _, x in f) * (y - 1 / (1 + np.exp(-score)))
+                    for k in [0, *(k for k, _ in f)]:
+                        push[k] = max(push.get(k, (-1, -1, 0)), (b, worker, w[k] + 0.2 * g))
+            w |= {k: v for k, (_, _, v) in push.items()}
+            times = {t: loads[t] * (10.0 if t == 3 else 1.0) for t in range(4)}
+            seen += [(i, t, loads[t], times[t]) for t in range(4)]
+            if i % 3 == 0:
+                slow = [t for t in times if times[t] > 1.5 * min(times.values())]
+                pool = sum(int(0.2 * published[t] + 0.5) for t in slow)
+                published = {t: int(0.8 * published[t] + 0.5) if t in slow else published[t] for t in published}
+                left = 4 - len(slow)
+                for t in sorted((t for t in times if t not in slow), key=lambda t: (times[t], t)):
+                    give = int(pool / left + 0.5)
+                    published[t] += give
+                    pool, left = pool - give, left - 1
+                    if pool < 1:
+                        break
+        return w, seen
+
+    w, seen = plain()
+    for trained in (job.train_lr(s, w0, p), job.train_lr(s, w0, Params(**{**vars(p), "prefetch": True}))):
+        got = dict(rows(trained.state[0]))
+        assert got == {k: pytest.approx(v, abs=1e-9) for k, v in w.items()} and trained.report == [(i, t, n, pytest.approx(x)) for i, t, n, x in seen]
+        assert trained.test.count() == 12
+    models_dense, models.DENSE_ROWS = models.DENSE_ROWS, 0
+    try:
+        got = dict(rows(job.train_lr(s, w0, Params(**{**vars(p), "n_iters": 2, "prefetch": True})).state[0]))
+    finally:
+        models.DENSE_ROWS = models_dense
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in rows(job.train_lr(s, w0, Params(**{**vars(p), "n_iters": 2})).state[0])}
+    jobs = sweep(Params(n_iters=1, alpha=0.2), batch_size=[1, 12], n_workers_per_node=[1, 2])
+    results = [rows(t.state[0]) for _, t in job.swept(s, w0, jobs)]
+    assert len({str(r) for r in results}) == 4
+
+
 def test_factorization_by_hand(spark):
     r = spark.createDataFrame([(0, 1, 1, 5), (1, 1, 2, 3), (2, 2, 1, 1)], "pos long, user long, item long, rating int")
     none = spark.createDataFrame([], "id long, bias double, f array<double>")
@@ -232,4 +328,12 @@ def test_live_log(spark, tmp_path):
     q = oplog.upsert_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert rows(spark.read.parquet(str(tmp_path / "out" / "v0"))) == [(1, 2, 7.0)]
+    assert rows(oplog.read_table(spark, str(tmp_path / "out"))) == [(1, 2, 7.0)]
+    writer = oplog.upsert_batches(stream, str(tmp_path / "out2"), str(tmp_path / "cp2"), compact=2)
+    for i in range(3):
+        q = writer.start()
+        q.processAllAvailable()
+        q.stop()
+        spark.createDataFrame([(10 + i, 0, 0, "Add", i, float(i))], stream.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert rows(oplog.read_table(spark, str(tmp_path / "out2"))) == [(0, 10, 0.0), (1, 11, 1.0)]
+    assert sorted(p.name for p in (tmp_path / "out2").iterdir()) == ["d2", "t1"]
