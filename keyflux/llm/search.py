@@ -1,4 +1,4 @@
-"""Exact BM25 top-k with block-max dynamic pruning, per shard, merged under global statistics.
+"""Exact BM25 top-k by block-max WAND, per shard, merged under global statistics.
 
 Terms are the words of a text, A-Z lower-cased; a query is a text's distinct
 terms.  score = sum of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) /
@@ -7,7 +7,9 @@ to the smaller id.
 
 A shard holds about SHARD_TOKENS tokens: its documents become an inverted index
 in one task, with the largest contribution of each term in the shard and in
-each block of BLOCK documents.  Queries stream past it, one at a time.
+each block of BLOCK documents.  Documents of a shard are numbered by their most
+frequent terms, so that a block's are alike and its maxima tight.  Queries,
+packed many to a row, stream past the index, one at a time.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .minhash import WordHashes
+from .packed import pack, steps, unpack
 
 K1, B, DIGITS = 1.2, 0.75, 6
 SHARD_TOKENS = 3_000_000
 #: Documents of a block.
-BLOCK = 64
+BLOCK = 128
 #: Bounds are compared with so much slack, for rounding.
 SLACK = 1e-5
 
@@ -63,16 +66,30 @@ def _frequencies(docs: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Inverted index of some documents, by rising id."""
+    """Inverted index of some documents; add() takes them by rising id.
+
+    touched and held count the postings that queries read, and those of their
+    terms altogether.
+    """
 
     def __init__(self, average: float):
         self.average, self.ids, self.parts = average, [], []
+        self.touched = self.held = 0
 
     def add(self, doc_id, terms: np.ndarray, tf: np.ndarray) -> None:
         self.parts.append((terms, tf.astype(np.int32)))
         self.ids.append(doc_id)
 
     def seal(self) -> None:
+        count = len(self.parts)
+        # like documents beside each other: by their two most frequent terms
+        likeness = np.zeros((2, count), np.uint64)
+        for i, (t, f) in enumerate(self.parts):
+            if len(t) > 1:
+                top = np.argpartition(-f, 1)[:2]
+                likeness[:, i] = t[top[np.argsort(-f[top], kind="stable")]]
+        self.order = np.lexsort((likeness[1], likeness[0]))  # arrival, that is id, of each number
+        self.parts = [self.parts[i] for i in self.order.tolist()]
         n = np.array([len(t) for t, _ in self.parts], np.int64)
         length = np.array([tf.sum() for _, tf in self.parts], np.float64)
         terms = np.concatenate([t for t, _ in self.parts]) if self.parts else np.empty(0, np.uint64)
@@ -105,16 +122,28 @@ class Shard:
     def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All numbers of the ranges, and the range each is of."""
         n = stop - start
-        which = np.repeat(np.arange(len(n)), n)
-        return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n), which
+        which = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        return np.arange(len(which)) + np.repeat(start - (np.cumsum(n) - n), n), which
 
-    def _add(self, score: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
-        """Add whole lists to the scores."""
-        i, which = self._ranges(self.start[at], self.start[at + 1])
-        score += np.bincount(self.doc[i], self.value[i] * w[which], len(score))
+    def _read(self, score: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> None:
+        """Add the postings of some runs to the scores."""
+        i, of = self._ranges(self.run[runs], self.run[runs + 1])
+        score += np.bincount(self.doc[i], self.value[i] * weight[of], len(score))
+        self.touched += len(i)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k best (position, score), exactly: by falling score, then position."""
+        """The k best (arrival, score), exactly: by falling score, then arrival.
+
+        Cursors stand on blocks, one a term, and move through them in document
+        order, a window of blocks at a time.  The window's blocks whose maxima
+        add up to less than the k-th score so far are passed over without
+        reading a posting (the shallow move).  Terms are ordered by their
+        bounds; those up to the pivot, beyond which the rest together can't
+        reach the k-th score, are read in the blocks left; the others only in
+        blocks where some document's score so far and their maxima there can
+        still reach it.  The first window holds the blocks with the largest
+        bounds, so that the k-th score is high from the start.
+        """
         n = len(self.ids)
         if not len(self.terms) or not n:
             return []
@@ -126,39 +155,52 @@ class Shard:
         bound = w * self.term_max[at]
         order = np.argsort(-bound, kind="stable")
         at, w, bound = at[order], w[order], bound[order]
-        rest = np.concatenate([np.cumsum(bound[::-1])[::-1][1:], [0.0]])
-        size = self.start[at + 1] - self.start[at]
-        done, score, floor, step, reach = 0, np.zeros(n), 0.0, max(4096, n // 4), np.cumsum(size)
-        # essential lists, strongest first, until the others together can't lift a document over the k-th score found
-        while done < len(at):
-            stop = min(len(at), max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + step, "right"))))
-            self._add(score, at[done:stop], w[done:stop])
-            done, step = stop, step * 2
+        # what the terms from each one on can add at most
+        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
+        self.held += int((self.start[at + 1] - self.start[at]).sum())
+        runs, term = self._ranges(self.run_start[at], self.run_start[at + 1])
+        block, most = self.run_block[runs], self.run_max[runs] * w[term]
+        blocks = n // BLOCK + 1
+        wide = np.bincount(block, most, blocks)
+        by_block = np.argsort(block.astype(np.uint16) if blocks < 1 << 16 else block, kind="stable")  # short numbers are sorted by radix
+        runs, term, most = runs[by_block], term[by_block], most[by_block]  # in a block by falling bound of the term
+        cut = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
+        score, floor = np.zeros(n), 0.0
+        first = max(1, min(blocks, -(-k // BLOCK) + 1))
+        head = np.argpartition(-wide, first - 1)[:first] if first < blocks else np.arange(blocks)
+        later = np.ones(blocks, bool)
+        later[head] = False
+        waiting, window = [np.sort(head), np.flatnonzero(later & (wide > 0))], 16
+        while waiting:
+            now, tail = waiting[0], waiting[1:]
+            if len(now) > window:
+                now, tail = now[:window], [now[window:], *tail]
+            waiting, window = tail, window * 2
+            now = now[wide[now] >= floor - SLACK]
+            if not len(now):
+                continue
+            i, which = self._ranges(cut[now], cut[now + 1])
+            pivot = int(np.searchsorted(-rest, -(floor - SLACK), "left")) if floor > 0 else len(at)
+            strong = term[i] < pivot
+            self._read(score, runs[i[strong]], w[term[i[strong]]])
+            if pivot < len(at):
+                weak, of = i[~strong], which[~strong]
+                more = np.bincount(of, most[weak], len(now))
+                # documents of the window, their best possible scores, and the blocks where one can still reach the floor
+                docs, at_ = self._ranges(now * BLOCK, np.minimum(now * BLOCK + BLOCK, n))
+                open_ = np.zeros(len(now), bool)
+                open_[at_[(score[docs] > 0) & (score[docs] + more[at_] >= floor - SLACK)]] = True
+                weak = weak[open_[of]]
+                self._read(score, runs[weak], w[term[weak]])
             if n > k:
-                floor = float(np.partition(score, n - k)[n - k])
-            if floor > 0 and rest[done - 1] < floor - SLACK:
-                break
-        alive = np.flatnonzero((score > 0) & (score + rest[done - 1] >= floor - SLACK))
-        if done < len(at) and len(alive):
-            # what the other lists can add in each block of documents
-            wide = np.zeros(n // BLOCK + 1)
-            for t, x in zip(at[done:].tolist(), w[done:].tolist()):
-                part = slice(self.run_start[t], self.run_start[t + 1])
-                wide[self.run_block[part]] += x * self.run_max[part]
-            alive = alive[score[alive] + wide[alive // BLOCK] >= floor - SLACK]
-            wanted = np.zeros(n // BLOCK + 1, bool)
-            wanted[alive // BLOCK] = True
-            if 4 * int(wanted.sum()) > len(wanted):
-                self._add(score, at[done:], w[done:])
-            else:  # postings are read only in blocks that still hold a candidate
-                runs, which = self._ranges(self.run_start[at[done:]], self.run_start[at[done:] + 1])
-                keep = wanted[self.run_block[runs]]
-                runs, which = runs[keep], which[keep]
-                i, of = self._ranges(self.run[runs], self.run[runs + 1])
-                score += np.bincount(self.doc[i], self.value[i] * w[done:][which][of], n)
-        final = np.round(score[alive], DIGITS)
-        best = np.lexsort((alive, -final))[:k]
-        return [(int(alive[b]), float(final[b])) for b in best if final[b] > 0]
+                floor = max(floor, float(np.partition(score, n - k)[n - k]))
+        best = np.flatnonzero((score > 0) & (score >= floor - SLACK))
+        final, arrival = np.round(score[best], DIGITS), self.order[best]
+        return [(int(arrival[b]), float(final[b])) for b in np.lexsort((arrival, -final))[:k] if final[b] > 0]
+
+
+#: Queries are packed about so many to a row.
+PACKED = 256
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -167,9 +209,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Null and empty texts match nothing and count as documents of length 0; a
     query without terms has no rows, one whose terms few documents hold has
     fewer than k.  A document finds itself.  Rows that repeat a doc_id are
-    documents of their own, rows that repeat a query's id are one query (their
-    least text); null ids come last among ties as documents, and aren't asked
-    as queries.  Empty tables give no rows; other columns are ignored.
+    documents of their own; each distinct text of a query's id is a query of
+    its own, with k rows under that id; null ids come last among ties as
+    documents, and aren't asked as queries.  Empty tables give no rows; other
+    columns are ignored.
+
+    Every query meets every shard: a block of queries, with its distinct terms
+    once, is sent to each.
     """
     freq = materialize(_frequencies(docs).groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "bm25-terms")
     whole = freq.filter("term is null").select("docs", "tokens").first()
@@ -179,21 +225,45 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def terms_of(batches):
         known = WordHashes()
         for batch in batches:
-            found = [term_counts(t, known)[0] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(t) for t in found])), pa.array((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64))], names=["query_id", "term"])
+            found = [term_counts(t, known)[0] for t in batch.column(2).to_pylist()]
+            n_ = [len(t) for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n_)), pa.array(np.repeat(batch.column(1).to_numpy(), n_)), pa.array((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64))], names=["query_id", "part", "term"])
+
+    asked = queries.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("query_id"), "text").distinct()
+    asked = asked.select("query_id", F.xxhash64("text").alias("part"), "text")  # part tells apart the texts of one id
+    asked = asked.mapInArrow(terms_of, "query_id long, part long, term long").join(freq.filter("term is not null").select("term", "df"), "term")
+    asked = materialize(asked.groupBy("query_id", "part").agg(F.collect_list(F.struct("term", "df")).alias("terms")), "bm25-queries")  # as many as one text has
+    rows = asked.count()
+
+    def packed(batches):
+        held: list[tuple] = []
+
+        def blob():
+            sizes = np.array([len(t) for _, _, t, _ in held])
+            terms, df = np.concatenate([t for _, _, t, _ in held]).view(np.uint64), np.concatenate([d for *_, d in held])
+            names, first, back = np.unique(terms, return_index=True, return_inverse=True)
+            ids, parts = (np.array(x, np.int64).view(np.uint64) for x in ([q for q, *_ in held], [p for _, p, *_ in held]))
+            out = pack(ids, parts, sizes, steps(names), df[first], back)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["blob"])
+
+        for batch in batches:
+            for i, (query, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                terms = batch.column(2)[i].values
+                held.append((query, part, terms.field(0).to_numpy(), terms.field(1).to_numpy()))
+                if len(held) == PACKED:
+                    yield blob()
+        if held:
+            yield blob()
 
-    asked = queries.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("query_id")).agg(F.min("text").alias("text"))
-    asked = asked.mapInArrow(terms_of, "query_id long, term long").join(freq.filter("term is not null").select("term", "df"), "term")
-    asked = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("terms"))  # as many as one text has
-    asked = materialize(asked.select("query_id", F.col("terms.term").alias("term"), F.col("terms.df").cast("array<int>").alias("df")), "bm25-queries")
-    left = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").cast("long").alias("id"), "text", F.lit(None).cast("array<bigint>").alias("term"), F.lit(None).cast("array<int>").alias("df"))
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("string").alias("text"), "term", "df")
-    both = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", "kind", F.col("id").asc_nulls_last())
+    blobs = asked.repartition(max(1, rows // PACKED)).mapInArrow(packed, "blob binary")
+    left = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").cast("long").alias("id"), "text", F.lit(None).cast("binary").alias("blob"))
+    right = blobs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "blob")
+    both = left.unionByName(right).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", F.col("id").asc_nulls_last())
 
     def work(batches):
         now, shard, sealed, known = None, None, False, WordHashes()
         for batch in batches:
-            asked, ids, scores = [], [], []
             text = batch.column(3)
             for r, (number, kind, id_) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 if number != now:
@@ -204,33 +274,37 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 if not sealed:
                     shard.seal()
                     sealed = True
-                term = np.asarray(batch.column(4)[r].values).view(np.uint64)
-                df = np.asarray(batch.column(5)[r].values, np.float64)
-                best = shard.top(term, np.log1p((n - df + 0.5) / (df + 0.5)), k)
-                if best:
-                    asked.append(id_), ids.append([shard.ids[p] for p, _ in best]), scores.append([s for _, s in best])
-            if asked:
-                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+                queries_, parts, sizes, names, df, back = unpack(batch.column(4)[r].as_py())
+                names, weight = np.cumsum(names.astype(np.uint64)), np.log1p((n - df + 0.5) / (df + 0.5))
+                asked, ids, scores = [], [], []
+                stop = np.cumsum(sizes)
+                for q, (a, b) in enumerate(zip(stop - sizes, stop)):
+                    best = shard.top(names[back[a:b]], weight[back[a:b]], k)
+                    if best:
+                        asked.append(q), ids.append([shard.ids[p] for p, _ in best]), scores.append([s for _, s in best])
+                if asked:
+                    key = [pa.array(x.astype(np.uint64).view(np.int64)[asked]) for x in (queries_, parts)]
+                    yield pa.RecordBatch.from_arrays([*key, pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], names=["query_id", "part", "ids", "scores"])
 
     def merge(batches):
         """The k best of each query's shards, which come one after the other; only k are held."""
         now, best, done = None, [], []
         for batch in batches:
-            for query, ids, scores in zip(*(c.to_pylist() for c in batch.columns)):
-                if query != now:
-                    done += [(now, i + 1, d, -s) for i, (s, _, d) in enumerate(best)]
-                    now, best = query, []
+            for query, part, ids, scores in zip(*(c.to_pylist() for c in batch.columns)):
+                if (query, part) != now:
+                    done += [(now[0], i + 1, d, -s) for i, (s, _, d) in enumerate(best)]
+                    now, best = (query, part), []
                 # null ids last; two of them are alike
                 best = sorted([*best, *((-s, d is None, d) for s, d in zip(scores, ids))], key=lambda x: (x[0], x[1], x[2] or 0))[:k]
             if done:
                 yield _ranked(done)
                 done = []
         if best:
-            yield _ranked([(now, i + 1, d, -s) for i, (s, _, d) in enumerate(best)])
+            yield _ranked([(now[0], i + 1, d, -s) for i, (s, _, d) in enumerate(best)])
 
     # a row per query and shard
-    found = both.mapInArrow(work, "query_id long, ids array<long>, scores array<double>")
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, doc_id long, score double")
+    found = both.mapInArrow(work, "query_id long, part long, ids array<long>, scores array<double>")
+    return found.repartition("query_id", "part").sortWithinPartitions("query_id", "part").mapInArrow(merge, "query_id long, rank int, doc_id long, score double")
 
 
 def _ranked(rows: list[tuple]) -> pa.RecordBatch:

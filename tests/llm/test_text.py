@@ -17,7 +17,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keyflux.llm import chat, lm, quality, queries, search, secrets
+from keyflux.llm import chat, lm, packed, quality, queries, search, secrets
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -192,25 +192,41 @@ def test_search_of_odd_documents(odd_docs, no_docs, monkeypatch):
     assert search.search(no_docs, no_docs).count() == 0 and search.search(odd_docs, no_docs).count() == 0
 
 
-def test_pruned_search_equals_a_full_one():
+@pytest.mark.parametrize("kinds", [1, 6])
+def test_pruned_search_equals_a_full_one(kinds, monkeypatch):
+    """Documents of several vocabularies, in mixed order; postings are passed over, short queries' most of all."""
+    monkeypatch.setattr(search, "BLOCK", 16)
     rnd = np.random.default_rng(4)
     shard = search.Shard(60.0)
     docs = []
-    for i in range(700):
-        terms, tf = np.unique((rnd.zipf(1.3, rnd.integers(5, 120)) % 3000).astype(np.uint64), return_counts=True)
+    for i in range(1500):
+        kind = int(rnd.integers(kinds))
+        terms, tf = np.unique((rnd.zipf(1.3, rnd.integers(5, 120)) % 3000 + 5000 * kind).astype(np.uint64), return_counts=True)
         docs.append(dict(zip(terms.tolist(), tf.tolist())))
         shard.add(i, terms, tf)
     shard.seal()
+    df = Counter(t for d in docs for t in d)
     for _ in range(60):
-        q = np.unique((rnd.zipf(1.3, rnd.integers(1, 80)) % 3000).astype(np.uint64))
-        w = rnd.random(len(q)) * 8
+        q = np.array(sorted(docs[int(rnd.integers(1500))]), np.uint64)
+        if rnd.random() < 0.3:
+            q = q[:2]
+        w = np.log1p((1500 - np.array([df[t] for t in q.tolist()]) + 0.5) / (np.array([df[t] for t in q.tolist()]) + 0.5))
         want = []
         for i, d in enumerate(docs):
             norm = search.K1 * (1 - search.B + search.B * sum(d.values()) / 60.0)
             want.append((-round(sum(x * d[t] * 2.2 / (d[t] + norm) for t, x in zip(q.tolist(), w) if t in d), 6), i))
         want = [(i, -s) for s, i in sorted(want)[:10] if s < 0]
         got = shard.top(q, w, 10)
-        assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
+        assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6) and len({i for i, _ in got}) == len(got)
+        clear = [s for _, s in want]
+        assert [i for (i, s) in got if clear.count(s) == 1 and s > clear[-1]] == [i for i, s in want if clear.count(s) == 1 and s > clear[-1]]
+    assert shard.touched <= shard.held
+    shard.touched = shard.held = 0
+    common = [t for t, _ in df.most_common(3)]
+    for t, x in df.items():
+        if x == 3:  # a rare word, of fewer documents than k, and common ones
+            shard.top(np.array(sorted({t, *common}), np.uint64), np.log1p([(1500 - df[y] + 0.5) / (df[y] + 0.5) for y in sorted({t, *common})]), 3)
+    assert 0 < shard.touched < 0.6 * shard.held, shard.touched / shard.held
 
 
 def test_lm_of_odd_documents(odd_docs, no_docs):
@@ -260,7 +276,7 @@ def test_seating_follows_the_restaurant(n, p, others, few, late, monkeypatch):
 @given(st.lists(st.lists(st.integers(0, 2**63), max_size=20), max_size=4))
 def test_packed_arrays(lists):
     arrays = [np.array(x, np.uint64) for x in lists] + [np.array([0.5, -1], np.float32), np.array([True, False])]
-    got = lm.unpack(lm.pack(*arrays))
+    got = packed.unpack(packed.pack(*arrays))
     assert len(got) == len(arrays) and all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, got))
 
 
