@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, table
+from ..session import discard, saved, shared_dir, table
 
 __all__ = ["SPACE", "connected", "forget", "fresh_path", "materialize", "release", "runs", "shared_dir", "table"]
 #: Characters that separate words, as a class for regular expressions.
@@ -20,15 +19,6 @@ SPACE = r"[\x20\x09-\x0D]"
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="keyflux-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/keyflux/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
@@ -37,12 +27,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    ship(spark)
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._keyflux_path = path
+    out = saved(df, label)
+    _written.append((df.sparkSession, out._keyflux_path))
     return out
 
 
@@ -54,7 +40,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that materialize() wrote and nothing will read again, and let the JVM see which shuffles nothing holds any more: Spark deletes their files then."""
     for t in tables:
-        _delete(spark, t._keyflux_path)
+        discard(t)
         _written[:] = [(s, p) for s, p in _written if p != t._keyflux_path]
     spark.sparkContext._jvm.System.gc()
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize
@@ -32,6 +32,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ARCHIVE_BYTES = 64 << 20
 #: Index lines and records are read by ranges of about so many bytes.
 RANGE = 4 << 20
+#: The repeated payloads are broadcast up to so many rows (of 50 bytes), joined by exchange beyond.
+BROADCAST_ROWS = 400_000
 # Fixed values of the ZIP format.
 EOCD, EOCD64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
@@ -102,7 +104,7 @@ class Member:
     name: str
     method: int
     size: int
-    start: int  # of its bytes
+    local: int  # where its local header begins
 
 
 class ArchiveReader:
@@ -154,21 +156,22 @@ class ArchiveReader:
                     packed = next(wide) if packed == MAX32 else packed
                     local = next(wide) if local == MAX32 else local
                 e += 4 + n
-            head = self.range(local, 30)
-            if head[:4] != LOCAL:
-                raise ValueError("no local header")
-            yield Member(name, method, packed, local + 30 + sum(struct.unpack_from("<HH", head, 26)))
+            yield Member(name, method, packed, local)
 
-    def stored(self, name: str) -> Member:
+    def stored(self, name: str) -> tuple[int, int]:
+        """Where a stored member's bytes begin, by its local header, and how many they are."""
         m = self.members[name]
         if m.method:
             raise ValueError(f"{name} is compressed in the archive and can't be read by range")
-        return m
+        head = self.range(m.local, 30)
+        if head[:4] != LOCAL:
+            raise ValueError("no local header")
+        return m.local + 30 + sum(struct.unpack_from("<HH", head, 26)), m.size
 
     def chunks(self, name: str, n: int = RANGE) -> Iterator[bytes]:
-        m = self.stored(name)
-        for a in range(0, m.size, n):
-            yield self.range(m.start + a, min(n, m.size - a))
+        start, size = self.stored(name)
+        for a in range(0, size, n):
+            yield self.range(start + a, min(n, size - a))
 
     def index(self) -> Iterator[tuple[int, int, str, str]]:
         rest = b""
@@ -180,52 +183,58 @@ class ArchiveReader:
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
         """Every indexed record; neighbours are fetched with one range of RANGE bytes or one record."""
-        data, have, held = self.stored(DATA), 0, b""
+        (start, size), have, held = self.stored(DATA), 0, b""
         for a, n, _, _ in self.index():
             if not (have <= a and a + n <= have + len(held)):
-                have, held = a, self.range(data.start + a, min(max(n, RANGE), data.size - a))
+                have, held = a, self.range(start + a, min(max(n, RANGE), size - a))
             yield read_record(zlib.decompress(held[a - have : a - have + n], 31))
 
 
-def decide(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(page_id, sha) of every page, and (sha, top) of payloads that occur more than once.
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder, which the driver and every executor must reach; raises where there is none for its scheme.
 
-    Records of equal payload: the largest page_id is the response (each such
-    row, if repeated), the others revisit it; null page_ids revisit it too, or
-    are responses where no other is.  Only digests go through an exchange here.
+    Spark's names of S3 (s3a, s3n) are S3.  HDFS needs its native library on
+    every machine.
     """
+    if "://" not in folder:
+        return pafs.LocalFileSystem(), folder
+    scheme, rest = folder.split("://", 1)
+    try:
+        return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+    except Exception as error:
+        raise ValueError(f"archives can't be kept in {folder}: {error}") from error
+
+
+def repeated(pages: DataFrame) -> DataFrame:
+    """(sha, top) of payloads that occur more than once, with their largest page_id (null if all are null); counted from digests alone, with partial counts before the exchange."""
+    sums = pages.select(F.col("page_id").cast("long"), _sha().alias("sha")).groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    return materialize(sums.filter("n > 1 and top is not null").select("sha", "top"), "warc-top")
 
-    def sums(batches):
-        for batch in batches:
-            payload = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in payload], pa.string())], names=["page_id", "sha"])
 
-    d = materialize(pages.select(F.col("page_id").cast("long"), "html").mapInArrow(sums, "page_id long, sha string"), "warc-sums")
-    top = materialize(d.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top"), "warc-top")
-    return d, top
+def _sha() -> Column:
+    return F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write every page as a record; returns (path, records), a row per archive, which is all that counts as written.
 
-    A task that is run again writes other files; those of the lost attempt are
-    named by no row.
+    Of records with equal payloads the one with the largest page_id is the
+    response (each such row, if repeated), the others revisit it; rows without
+    a page_id revisit it too, however many, and are responses where no other
+    is.  Repeated payloads meet their pages by digest: sent to all tasks if few,
+    else in an exchange that splits frequent ones.  A task that is run again
+    writes other files; those of the lost attempt are named by no row.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
-    d, top = decide(pages)
-    # only pages whose payload occurs more than once need a decision
-    later = d.join(top, "sha").filter(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))).select(F.col("page_id").alias("p_"), "sha", "top").distinct()
-    # an id has as many entries as payloads; more than one only where rows repeat an id
-    revisits = materialize(later.groupBy("p_").agg(F.map_from_entries(F.collect_list(F.struct("sha", "top"))).alias("revisits")), "warc-revisits")
-    page = pages.select(F.col("page_id").cast("long"), "url", "html")
-    if revisits.limit(1).count():
-        page = page.join(revisits, F.col("page_id").eqNullSafe(F.col("p_")), "left").select("page_id", "url", "html", "revisits")
-    else:
-        page = page.withColumn("revisits", F.lit(None).cast("map<string,bigint>"))
+    file_system(folder)
+    top = repeated(pages)
+    few = top.count() <= BROADCAST_ROWS
+    page = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("sha", _sha())
+    page = page.join(F.broadcast(top) if few else top, "sha", "left").select("page_id", "url", "html", "sha", "top")
 
     def work(batches):
-        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         now, name, n, done = None, "", 0, []
 
@@ -235,14 +244,13 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
             done.append((f"{root}/{name}", n))
 
         for batch in batches:
-            for page_id, url, html, revisits in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, sha, largest in zip(*(c.to_pylist() for c in batch.columns)):
                 if now is None:
                     name = f"{uuid.uuid4().hex}.wacz"
                     out = fs.open_output_stream(f"{root}/{name}")
                     now, n = (out, ArchiveWriter(_Counted(out))), 0
-                payload = (html or "").encode()
-                sha = digest(payload)
-                refers = dict(revisits or ()).get(sha)
+                payload, sha = (html or "").encode(), base64.b32encode(bytes.fromhex(sha)).decode()
+                refers = None if largest == page_id else largest
                 now[1].add(record(page_id, url, payload, sha, refers), "response" if refers is None else "revisit", sha)
                 n += 1
                 if now[1].at >= ARCHIVE_BYTES:
@@ -281,7 +289,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """
 
     def work(batches):
-        fs = pafs.FileSystem.from_uri(folder)[0] if "://" in folder else pafs.LocalFileSystem()
+        fs, _ = file_system(folder)
         page_of = lambda x: int(x[10:-1]) if len(x) > 11 else None
         for batch in batches:
             for path in batch.column(0).to_pylist():

@@ -126,6 +126,23 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("rows_", [0, 400_000])
+def test_warc_of_many_rows_without_ids(spark, monkeypatch, rows_):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", rows_)
+    rows = [(None, "u", f"page {i % 700}") for i in range(2100)] + [(i, "u", f"page {i}") for i in range(300)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 2400 and sum(r["record_type"] == "revisit" for r in got) == 900
+    assert all((r["refers_to"] is not None) == (r["record_type"] == "revisit") for r in got) and all(r["record_type"] == "response" for r in got if r["page_id"] is not None)
+
+
+def test_folders_of_archives(spark):
+    with pytest.raises(ValueError, match="can't be kept"):
+        warc.write_archives(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), "gopher://host/folder")
+    assert warc.file_system("/a/b")[1] == "/a/b" and warc.file_system("file:///a/b")[1] == "/a/b"
+    fs, path = warc.file_system("s3a://bucket/key?region=us-east-1")
+    assert type(fs).__name__ == "S3FileSystem" and path == "bucket/key"
+
+
 def test_zip64_directory():
     out = io.BytesIO()
     w = warc.ArchiveWriter(out)
