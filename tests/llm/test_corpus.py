@@ -297,6 +297,41 @@ def test_pipeline_stages(spark):
         now = spark.createDataFrame(rows, docs.schema)
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_of_odd_documents(spark, odd_docs, no_docs, tmp_path, name, stage):
+    """Nulls, empty and long texts, repeats, foreign columns, no rows: what each stage's docstring says."""
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (6, 1, 0), (None, 1, 1), (12, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert stage(spark, no_docs, str(tmp_path)).count() == 0
+    before = [tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in odd_docs.collect()]
+    out = stage(spark, odd_docs, str(tmp_path))
+    rows = out.collect()
+    if name == "pack":
+        check_pieces([r[:2] for r in before], rows)
+        return
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    got, key = [tuple(r) for r in rows], lambda r: tuple(str(x) for x in r)
+    if name == "quality":
+        scores = quality.classify(odd_docs, labels).collect()
+        ok = sorted(str(r["doc_id"]) for r in scores if r["predicted"])
+        assert sorted(str(r[0]) for r in got) == ok and set(got) <= set(before)
+        labels.limit(0).write.mode("overwrite").parquet(str(tmp_path / "none" / "labels.parquet"))
+        assert sorted(map(key, stage(spark, odd_docs, str(tmp_path / "none")).collect())) == sorted(map(key, before))
+    elif name == "near_dedup":
+        assert {r[0] for r in got} >= {None, 1, 3, 4, 5, 8} and not {r[0] for r in got} & {2, 7, 9, 10}
+    elif name == "secrets":
+        assert len(got) == len(before)
+        for r in got:
+            if r[0] == 13:
+                assert r[1] == "[REDACTED] \u00e9 [REDACTED]" and r[4] == len(r[1])
+            else:
+                assert r in before
+    else:
+        assert set(got) <= set(before) and {r[0] for r in got} >= {3, 4, 5}
+        words = lambda rs: sum(len((r[1] or "").split(" ")) for r in rs if r[0] in (6, 7, 12))
+        assert 0 < words(got) <= 3 * words(before)
+
+
 @tables
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).agg(F.count("*")).first()[0] > 0
