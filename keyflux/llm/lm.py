@@ -49,7 +49,7 @@ from .packed import pack, steps, unpack
 
 SYMBOLS = 257  # bytes, and the end of a word
 #: Training and other tokens of a chunk, and of a shard.
-CHUNK_TOKENS, SHARD_TOKENS = 5_000_000, 6_000_000
+CHUNK_TOKENS, SHARD_TOKENS = 2_500_000, 3_000_000
 BURN_IN, KEPT = 2, 3
 STRENGTH = 1.0
 _U = np.uint64
@@ -370,9 +370,13 @@ class Chunk:
         """The places of each shard's pairs in `pairs`."""
         size = len(self.h)
         with np.errstate(over="ignore"):
-            to = share(spread(self.h[self.pairs // size] * GOLDEN + self.h[self.pairs % size]), shards)
+            u, w = np.divmod(self.pairs, size)
+            to = share(spread(self.h[u] * GOLDEN + self.h[w]), shards)
+            del u, w
+        if shards <= 1 << 16:
+            to = to.astype(np.uint16)  # sorted by radix
         order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(shards + 1))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=shards))])
         for k in range(shards):
             if cuts[k] < cuts[k + 1]:
                 yield k, order[cuts[k] : cuts[k + 1]]
@@ -436,10 +440,14 @@ def _sent(code: DataFrame, shards: int) -> DataFrame:
             if a < b:
                 lengths, data = _strings(c.words.slice(a, b - a))
                 yield _message(j, WORDS, number, pack(steps(c.h[a:b]), c.n[a:b], c.m[a:b], lengths, _bytes(data)))
+        place = np.empty(len(c.h), np.int64)
         for k, at in c.dealt(shards):
-            u, w = c.pairs[at] // len(c.h), c.pairs[at] % len(c.h)
-            names = np.unique(np.concatenate([u, w]))
-            yield _message(k, PAIRS, number, pack(steps(c.h[names]), steps(np.searchsorted(names, u)), np.searchsorted(names, w), c.count[at]))
+            u, w = np.divmod(c.pairs[at], len(c.h))
+            used = np.zeros(len(c.h), bool)
+            used[u] = used[w] = True
+            names = np.flatnonzero(used)
+            place[names] = np.arange(len(names))
+            yield _message(k, PAIRS, number, pack(steps(c.h[names]), steps(place[u]), place[w], c.count[at]))
 
     def work(batches):
         for batch in batches:
@@ -773,7 +781,10 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, seed: int =
             b = max(a + 1, int(np.searchsorted(stop, first + 500_000, "right")))
             many = c.many[a:b]
             now, last = c.tokens[first : stop[b - 1]], c.before(first, int(stop[b - 1]))
-            own = old_[np.searchsorted(c.pairs, last.astype(np.int64) * len(c.h) + now)].astype(np.float64)
+            key = last.astype(np.int64) * len(c.h) + now
+            order = np.argsort(key)  # numbers in order are found faster, even so
+            own = np.empty(len(key))
+            own[order] = old_[np.searchsorted(c.pairs, key[order])]
             with np.errstate(divide="ignore"):
                 words = np.logaddexp(np.log(own / (STRENGTH + m[last])), np.log(room[last].astype(np.float64)) + p[now]) / math.log(10) + go_on
             of = np.repeat(np.arange(len(many)), many)
