@@ -120,8 +120,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
             finish()
             yield batch_of(done)
 
-    order = [F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")]
-    dealt = formatted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "formatted")
+    # texts are not sent: what ties are ordered by is read from the formatted turn
+    dealt = formatted.select("conv_id", "turn", "role", "formatted").repartition("conv_id")
+    body = F.col("formatted").substr(F.length(F.substring_index("formatted", "\n", 1)) + 2, F.length("formatted"))
+    text = F.regexp_replace(body.substr(F.lit(1), F.length(body) - len(END) - 1), r"<\\(\\*)\|", r"<$1|")
+    dealt = dealt.sortWithinPartitions("conv_id", "turn", "role", text).select("conv_id", "formatted")
     return dealt.mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

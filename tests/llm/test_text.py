@@ -36,6 +36,13 @@ def test_escapes_tell_texts_apart(a, b):
     assert "<|" not in chat.escape(a)
 
 
+def test_ties_are_ordered_by_text(spark):
+    texts = ["<|b", "<|", "<\\|a", "<a", "", "\n", "a\nb", "<|im_end|>\n", "z", "é"]
+    rows = [(1, 0, "user", t) for t in texts[::-1]]
+    got = chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"user\n{t}\n" for t in sorted(texts)).encode()).hexdigest()
+
+
 def test_odd_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, formatted int"
     rows = [(1, 1, "assistant", "b", 1), (1, 0, "user", None, 1), (1, 1, "assistant", "b", 1), (1, 1, "assistant", "a", 1), (2, None, None, "<|im_end|>", 1), (None, 0, "assistant", "é" * 100_000, 1)]
