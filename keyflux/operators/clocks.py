@@ -18,17 +18,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
 from .ordered import RANGE, last_before, running_sums
 
 
 def workers(log: DataFrame) -> list[int]:
-    """The workers of a log; they are few, and become columns."""
+    """The workers of a log, a number each."""
     return [r["tid"] for r in log.select("tid").distinct().orderBy("tid").collect()]
 
 
+#: Up to so many workers' clocks are columns of a row; those of more are counted by worker and joined.
+COLUMNS = 64
+
+
 def clocked(log: DataFrame, tids: list[int] | None = None, width: int = RANGE) -> DataFrame:
-    """log with mn, ck and prev (mn before this row)."""
+    """log with mn, ck and prev (mn before this row), written once: what follows reads it several times."""
     tids = workers(log) if tids is None else tids
+    return saved((_by_columns if len(tids) <= COLUMNS else _by_rounds)(log, tids, width), "clocked")
+
+
+def _by_columns(log: DataFrame, tids: list[int], width: int) -> DataFrame:
     tick = F.col("flag") == "Clock"
     d = running_sums(log, "seq", {f"c{i}": F.when(tick & (F.col("tid") == t), 1).otherwise(0).cast("long") for i, t in enumerate(tids)}, width=width)
     cs = [F.col(f"c{i}") for i in range(len(tids))]
@@ -38,6 +47,16 @@ def clocked(log: DataFrame, tids: list[int] | None = None, width: int = RANGE) -
     return d.withColumns({"mn": least(cs), "ck": own, "prev": least(was)}).drop(*[f"c{i}" for i in range(len(tids))])
 
 
+def _by_rounds(log: DataFrame, tids: list[int], width: int) -> DataFrame:
+    """The least clock is the number of barriers that all workers have reached: it rises where the last one arrives."""
+    named = log.sparkSession.createDataFrame([(t,) for t in tids], "tid long")
+    mine = running_sums(log.join(F.broadcast(named), "tid", "left_semi"), "seq", {"ck": (F.col("flag") == "Clock").cast("long")}, by=("tid",), width=width)
+    rises = barrier_rounds(log, tids, width).select("seq", F.lit(1).cast("long").alias("_rise"))
+    d = log.join(mine.select("seq", "ck"), "seq", "left").join(rises, "seq", "left").withColumn("_rise", F.coalesce("_rise", F.lit(0).cast("long")))
+    d = running_sums(d, "seq", {"mn": F.col("_rise")}, width=width)
+    return d.withColumn("prev", F.col("mn") - F.col("_rise")).drop("_rise")
+
+
 def progress(log: DataFrame) -> DataFrame:
     """(tid, clock) at the end."""
     return log.groupBy("tid").agg(F.count_if(F.col("flag") == "Clock").alias("clock"))
@@ -113,6 +132,7 @@ def dispatch(log: DataFrame, models: list[int]) -> DataFrame:
 
 def barrier_rounds(log: DataFrame, tids: list[int], width: int = RANGE) -> DataFrame:
     """(round, seq): when the last worker reaches each barrier, a Clock being an arrival."""
-    clocks = log.filter((F.col("flag") == "Clock") & F.col("tid").isin(tids)).select("tid", "seq")
+    named = log.sparkSession.createDataFrame([(t,) for t in tids], "tid long")
+    clocks = log.filter(F.col("flag") == "Clock").join(F.broadcast(named), "tid", "left_semi").select("tid", "seq")
     arrivals = running_sums(clocks, "seq", {"round": F.lit(1)}, by=("tid",), width=width)
     return arrivals.groupBy(F.col("round").cast("int").alias("round")).agg(F.max("seq").alias("seq"), F.count("*").alias("n")).filter(F.col("n") == len(tids)).select("round", "seq")

@@ -142,6 +142,26 @@ def test_visibility_against_replay(spark, seed):
         assert answers(clocks.ssp_get(log, s, [0, 1, 2], width=16)) == replay(ops, range(3), "ssp", s)
 
 
+def test_clocks_of_many_workers(spark, monkeypatch):
+    rnd = random.Random(8)
+    ops = [(rnd.choice(["Add", "Get", "Clock", "Clock"]), rnd.randrange(5), 0, 0.0) for _ in range(300)]
+    log = log_of(spark, ops)
+    pick = lambda d: rows(d.filter("tid < 4"), "seq", "tid", "mn", "ck", "prev")
+    want = pick(clocks.clocked(log, [0, 1, 2, 3], width=16))
+    monkeypatch.setattr(clocks, "COLUMNS", 0)
+    assert pick(clocks.clocked(log, [0, 1, 2, 3], width=16)) == want
+
+
+def test_the_shared_folder_is_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from keyflux.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_running_sums_by_ranges(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 2)
     out = ordered.running_sums(df, "id", {"s": F.col("id")}, by=("g",), width=64)
