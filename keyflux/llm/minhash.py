@@ -7,9 +7,9 @@ band with a probability below 1e-6.
 
 Documents with equal sets are one class, found by a map-side combined
 aggregation.  Within a bucket, classes are first compared with the bucket's
-least class (a star, not all pairs); only buckets whose members are then still
-in different components are compared in full, in blocks, between components.
-Links come from exact set sizes alone.
+least class (a star, not all pairs).  Classes that still share a bucket with
+another component are compared where their rarest shingles meet (an exact
+filter), in blocks, between components.  Links come from exact set sizes alone.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .common import connected, materialize, runs
 BANDS, PER_BAND = 28, 2
 #: Classes of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Counters of a sketch's row, a power of two.
+SKETCH = 1 << 18
 #: A table of ids is broadcast up to so many rows (of 8 bytes), joined by exchange beyond.
 BROADCAST_ROWS = 400_000
 REMEMBERED = 200_000
@@ -195,16 +197,73 @@ def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], perc
     return out
 
 
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle, at least, by a bounded sketch: SKETCH counters a row, two rows; the least of a shingle's two is its estimate.
+
+    Any estimate gives right results: it only orders shingles.  Sketches are
+    added up in few tasks and then here.
+    """
+
+    def add(batches):
+        total = np.zeros((2, SKETCH), np.int32)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                s = np.frombuffer(data, np.uint64)
+                for row, at in enumerate(_places(s)):
+                    np.add.at(total[row], at, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    def merge(batches):
+        total = np.zeros((2, SKETCH), np.int32)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += np.frombuffer(data, np.int32).reshape(2, SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    out = np.zeros((2, SKETCH), np.int32)
+    for row in sets.select("set").mapInArrow(add, "s binary").repartition(4).mapInArrow(merge, "s binary").toLocalIterator():
+        out += np.frombuffer(row["s"], np.int32).reshape(2, SKETCH)
+    return out
+
+
+def _places(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (s & _U(SKETCH - 1)).astype(np.int64), (s >> _U(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+
+
+def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, one more than it can lack of a similar one: similar sets' prefixes meet."""
+    a, b = _places(s)
+    order = np.lexsort((s, np.minimum(sketch[0][a], sketch[1][b])))
+    return s[order[: len(s) - -(-percent * len(s) // 100) + 1]]
+
+
 def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one bucket that are in different components, in blocks."""
+    """Links between classes that share a bucket and are in different components.
+
+    Of two similar sets each has a shingle of the other among its rarest (the
+    prefix filter, exact for any order of shingles), so classes are compared
+    where their prefixes meet: classes that share a common passage and no more
+    do not.  Groups that hold the same classes are compared once, in blocks.
+    """
     m = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
     m = materialize(m, "minhash-members")
     open_ = m.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("size > 2 and c0 <> c1")
-    open_ = open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "comp").distinct().join(sets, "id")
-    m = m.select("bucket", "bi", "bj", "id", "comp", "set").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    own = materialize(m.join(open_.select("bucket"), "bucket", "left_semi").select("id", "comp").distinct().join(sets, "id"), "minhash-open")
+    packed = own.sparkSession.sparkContext.broadcast(_sketch(own))
+
+    def rare(batches):
+        for batch in batches:
+            found = [prefix(np.frombuffer(x, np.uint64), packed.value, percent) for x in batch.column(2).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["shingle", "id", "comp"])
+
+    rows = materialize(own.select("id", "comp", "set").mapInArrow(rare, "shingle long, id long, comp long"), "minhash-prefixes")
+    groups = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("all"), F.min("id").alias("first")).filter("c0 <> c1")
+    groups = groups.groupBy("size", "all", "first").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    g = rows.join(groups, "shingle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    g = g.select("shingle", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "comp").join(own.select("id", "set"), "id")
+    g = g.select("shingle", "bi", "bj", "id", "comp", "set").repartition("shingle", "bi", "bj").sortWithinPartitions("shingle", "bi", "bj")
 
     def work(batches):
         a, b = [], []
@@ -215,7 +274,7 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
                     a.append(x), b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return m.mapInArrow(work, "a long, b long")
+    return g.mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
