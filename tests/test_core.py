@@ -176,6 +176,32 @@ def test_rebalance_goldens(spark):
         assert got == want and sum(got) == sum(loads)
 
 
+def test_delays_at_random(spark):
+    times = spark.range(2000).select(F.lit(3).alias("iter"), (F.col("id") % 10).alias("worker_id"), F.lit(1.0).alias("time"))
+    got = [r["time"] for r in schedule.injected_delay(times, 200.0, probability=0.25).collect()]
+    assert set(got) == {1.0, 3.0} and 0.2 < got.count(3.0) / 2000 < 0.3
+    assert not [r for r in schedule.injected_delay(times, 200.0).collect() if r["time"] != 1.0]
+
+
+def test_session_settings(spark):
+    from keyflux.session import session
+
+    s = session()
+    assert s.conf.get("spark.sql.session.timeZone") == "UTC" and s.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_reading_ahead_hands_on_errors_and_stops():
+    def items():
+        yield from range(5)
+        raise ValueError("broken")
+
+    got = []
+    with pytest.raises(ValueError, match="broken"):
+        for x in text.prefetched(items()):
+            got.append(x)
+    assert got == list(range(5)) and next(text.prefetched(iter(range(10**9)))) == 0
+
+
 def test_simulation_converges(spark):
     out = job.simulate(spark, {0: 1.0, 1: 1.0, 2: 1.0, 3: 10.0}, 12, rate=0).collect()
     spread = lambda i: max(r["time"] for r in out if r["iter"] == i)
@@ -229,6 +255,9 @@ def test_idx_files(spark, tmp_path):
     assert idx.read_images(spark, str(tmp_path / idx.FILES["train"][0]), start=1, limit=1).first()["pixels"] == [4, 5, 6, 7]
     z = idx.normalized(d).first()["pixels"]
     assert abs(sum(z)) < 1e-9 and abs(sum(x * x for x in z) / 4 - 1) < 1e-9
+    assert [r["pixels"] for r in idx.binarized(d, 5).filter("split = 'test'").orderBy("idx").collect()] == [[0] * 4, [0, 0, 1, 1], [1] * 4]
+    twice = idx.read_images(spark, str(tmp_path / idx.FILES["train"][0]), limit=1, function=lambda p: F.transform(p, lambda x: x * 2))
+    assert twice.first()["pixels"] == [0, 2, 4, 6]
     with pytest.raises(ValueError):
         idx.decode(struct.pack(">II", 0x801, 5), 0x801)
 
