@@ -97,7 +97,7 @@ class Shard:
         self.parts = []
         order = np.argsort(terms, kind="stable")
         terms, tf = terms[order], tf[order].astype(np.float64)
-        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+        self.doc = np.repeat(np.arange(len(n)), n)[order]
         del order
         norm = K1 * (1 - B + B * length / max(self.average, 1e-300))
         self.value = tf * (K1 + 1)
@@ -113,22 +113,20 @@ class Shard:
         if len(terms):
             at[1:] |= block[1:] != block[:-1]
         self.run = np.concatenate([np.flatnonzero(at), [len(terms)]])
+        self.run_len, self.count = np.diff(self.run), np.arange(len(terms))
         self.run_block = block[self.run[:-1]]
         self.run_max = np.maximum.reduceat(self.value, self.run[:-1]) if len(terms) else np.empty(0)
         self.run_start = np.searchsorted(self.run[:-1], self.start)
         self.term_max = np.maximum.reduceat(self.value, cut) if len(terms) else np.empty(0)
 
-    @staticmethod
-    def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All numbers of the ranges, and the range each is of."""
-        n = stop - start
-        which = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        return np.arange(len(which)) + np.repeat(start - (np.cumsum(n) - n), n), which
-
     def _read(self, score: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> None:
         """Add the postings of some runs to the scores."""
-        i, of = self._ranges(self.run[runs], self.run[runs + 1])
-        score += np.bincount(self.doc[i], self.value[i] * weight[of], len(score))
+        n = self.run_len[runs]
+        i = np.repeat(self.run[runs] - (np.cumsum(n) - n), n)
+        i += self.count[: len(i)]
+        value = self.value[i]
+        value *= np.repeat(weight, n)
+        score += np.bincount(self.doc[i], value, len(score))
         self.touched += len(i)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
@@ -158,40 +156,43 @@ class Shard:
         # what the terms from each one on can add at most
         rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
         self.held += int((self.start[at + 1] - self.start[at]).sum())
-        runs, term = self._ranges(self.run_start[at], self.run_start[at + 1])
-        block, most = self.run_block[runs], self.run_max[runs] * w[term]
+        # runs by falling bound of their term, then by block
+        n_runs = self.run_start[at + 1] - self.run_start[at]
+        ends = np.append(0, np.cumsum(n_runs))
+        runs = self.count[: ends[-1]] + np.repeat(self.run_start[at] - ends[:-1], n_runs)
+        weight, block = np.repeat(w, n_runs), self.run_block[runs]
+        most = self.run_max[runs] * weight
         blocks = n // BLOCK + 1
         wide = np.bincount(block, most, blocks)
-        by_block = np.argsort(block.astype(np.uint16) if blocks < 1 << 16 else block, kind="stable")  # short numbers are sorted by radix
-        runs, term, most = runs[by_block], term[by_block], most[by_block]  # in a block by falling bound of the term
-        cut = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
         score, floor = np.zeros(n), 0.0
         first = max(1, min(blocks, -(-k // BLOCK) + 1))
         head = np.argpartition(-wide, first - 1)[:first] if first < blocks else np.arange(blocks)
-        later = np.ones(blocks, bool)
+        later = wide > 0
         later[head] = False
-        waiting, window = [np.sort(head), np.flatnonzero(later & (wide > 0))], 16
+        waiting, window = [head, np.flatnonzero(later)], 16
         while waiting:
             now, tail = waiting[0], waiting[1:]
             if len(now) > window:
                 now, tail = now[:window], [now[window:], *tail]
-            waiting, window = tail, window * 2
+            waiting, window = tail, window * 4
             now = now[wide[now] >= floor - SLACK]
             if not len(now):
                 continue
-            i, which = self._ranges(cut[now], cut[now + 1])
-            pivot = int(np.searchsorted(-rest, -(floor - SLACK), "left")) if floor > 0 else len(at)
-            strong = term[i] < pivot
-            self._read(score, runs[i[strong]], w[term[i[strong]]])
-            if pivot < len(at):
-                weak, of = i[~strong], which[~strong]
-                more = np.bincount(of, most[weak], len(now))
-                # documents of the window, their best possible scores, and the blocks where one can still reach the floor
-                docs, at_ = self._ranges(now * BLOCK, np.minimum(now * BLOCK + BLOCK, n))
-                open_ = np.zeros(len(now), bool)
-                open_[at_[(score[docs] > 0) & (score[docs] + more[at_] >= floor - SLACK)]] = True
-                weak = weak[open_[of]]
-                self._read(score, runs[weak], w[term[weak]])
+            here = np.zeros(blocks, bool)
+            here[now] = True
+            pivot = ends[int(np.searchsorted(-rest[:-1], -(floor - SLACK), "left")) if floor > 0 else len(at)]
+            strong = np.flatnonzero(here[block[:pivot]])
+            self._read(score, runs[strong], weight[strong])
+            if pivot < len(runs):
+                weak = np.flatnonzero(here[block[pivot:]]) + pivot
+                more = np.bincount(block[weak], most[weak], blocks)
+                # blocks where some document's score so far and the other terms' maxima can still reach the floor
+                reach = np.zeros(blocks * BLOCK)
+                reach[:n] = score
+                top = reach.reshape(blocks, BLOCK).max(axis=1)
+                open_ = here & (top > 0) & (top + more >= floor - SLACK)
+                weak = weak[open_[block[weak]]]
+                self._read(score, runs[weak], weight[weak])
             if n > k:
                 floor = max(floor, float(np.partition(score, n - k)[n - k]))
         best = np.flatnonzero((score > 0) & (score >= floor - SLACK))
