@@ -125,7 +125,8 @@ class Task:
                     yield framed(pd.DataFrame({"_time": info.times, "_worker": worker, "_tid": tid}))
                 now = at[0]
 
-        dealt = rows.join(self.allocation.select("worker_id", "tid"), "worker_id").repartition("worker_id").sortWithinPartitions("worker_id")
+        # by a hash of its own: an exchange by the join's key is planned away, and adaptive execution then splits a worker's rows over tasks
+        dealt = rows.join(self.allocation.select("worker_id", "tid"), "worker_id").repartition(F.xxhash64("worker_id")).sortWithinPartitions("worker_id")
         done = saved(dealt.mapInPandas(work, full), "task")
         if store:
             for number in self.tables:

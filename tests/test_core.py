@@ -298,6 +298,33 @@ def test_tasks_use_tables_and_report_times(spark):
     assert task.workloads == {100: 107, 101: 107, 102: 106, 103: 80}
 
 
+def _planned_at_run_time(spark):
+    """A task over rows too many to be joined by a broadcast, until adaptive execution sees how few the workers are."""
+    import pandas as pd
+
+    def count(info, frames):
+        n = sum(len(f) for f in frames)
+        info.tables[0].add([info.worker_id], [float(n)])
+        yield pd.DataFrame({"worker_id": [info.worker_id], "n": [n]})
+
+    store = kv.Store(spark)
+    t = store.create()
+    alloc = slices.allocate_workers(spark.createDataFrame([(0, 4)], "node long, num long"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        out = rows(job.Task(count, alloc, [t]).run(spark.range(4000, numPartitions=6).select((F.col("id") % 4).alias("worker_id"), "id"), "worker_id long, n long", store))
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    return out, store, t
+
+
+def test_a_worker_is_one_task_however_its_rows_are_joined(spark):
+    assert _planned_at_run_time(spark)[0] == [(i, 1000) for i in range(4)]
+
+
 def test_training_honours_its_parameters(spark):
     """Against supersteps in plain Python: batches in an order drawn anew, hold-out, scheduler, injected delays; prefetch and joins give the same."""
     import hashlib
