@@ -325,6 +325,11 @@ def test_a_worker_is_one_task_however_its_rows_are_joined(spark):
     assert _planned_at_run_time(spark)[0] == [(i, 1000) for i in range(4)]
 
 
+def test_a_worker_writes_once_however_its_rows_are_joined(spark):
+    _, store, t = _planned_at_run_time(spark)
+    assert rows(store.state(t)) == [(i, 1000.0) for i in range(4)]
+
+
 def test_training_honours_its_parameters(spark):
     """Against supersteps in plain Python: batches in an order drawn anew, hold-out, scheduler, injected delays; prefetch and joins give the same."""
     import hashlib
