@@ -199,6 +199,26 @@ def test_search_of_odd_documents(odd_docs, no_docs, monkeypatch):
     assert search.search(no_docs, no_docs).count() == 0 and search.search(odd_docs, no_docs).count() == 0
 
 
+def test_search_sends_queries_once_a_task(spark, monkeypatch):
+    """However many shards there are: tasks look up one after the other, with the k-th score so far."""
+    rnd = np.random.default_rng(8)
+    docs = [(i, " ".join(f"w{z % 400}" for z in rnd.zipf(1.3, rnd.integers(1, 60)))) for i in range(600)]
+    docs += [(600 + i, docs[i][1]) for i in range(40)] + [(700, ""), (701, None)]
+    asked = [d for d in docs if d[0] % 20 == 0 and d[1]]
+    tables = [spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (docs, asked)]
+    monkeypatch.setattr(search, "SHARD_TOKENS", 250)  # some 70 shards
+    monkeypatch.setattr(search, "TASKS", 1, raising=False)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    dealt, deal = [], type(tables[0]).repartitionById
+    monkeypatch.setattr(type(tables[0]), "repartitionById", lambda self, n, by: dealt.append(n) or deal(self, n, by))
+    found = search.search(*tables)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["doc_id"]))
+    assert got == {q: [(pytest.approx(s, abs=2e-6), d) for s, d in v] for q, v in brute_bm25(docs, asked).items()}
+    assert dealt == [spark.sparkContext.defaultParallelism]
+
+
 @pytest.mark.parametrize("kinds", [1, 6])
 def test_pruned_search_equals_a_full_one(kinds, monkeypatch):
     """Documents of several vocabularies, in mixed order; postings are passed over, short queries' most of all."""
