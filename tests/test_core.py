@@ -330,6 +330,26 @@ def test_a_worker_writes_once_however_its_rows_are_joined(spark):
     assert rows(store.state(t)) == [(i, 1000.0) for i in range(4)]
 
 
+def test_task_writes_is_its_sql_however_its_rows_are_joined(spark, tmp_path):
+    """The query over events in several files, too many to be joined by a broadcast until adaptive execution sees how few the workers are."""
+    import duckdb
+
+    from keyflux import queries
+
+    spark.range(4003, numPartitions=6).select(F.col("id").alias("user_id"), F.col("id").cast("double").alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        got = rows(queries.queries()["task_writes"](spark, str(tmp_path)))
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    assert got == sorted(duck.sql(queries.oracle_sql()["task_writes"]).fetchall()) == [(0, 1001.0), (1, 1001.0), (2, 1001.0), (3, 1000.0), (5, 0.25), (99, 3.0)]
+
+
 def test_training_honours_its_parameters(spark):
     """Against supersteps in plain Python: batches in an order drawn anew, hold-out, scheduler, injected delays; prefetch and joins give the same."""
     import hashlib
