@@ -4,9 +4,11 @@ Only lengths decide a packing, and a length is at most the sequence's size, so
 the plan is made on the histogram of lengths: a bounded table however many
 documents there are.  It consists of runs: so many sequences from one number
 on, each taking one piece of some length at one offset.  Pieces then find their
-run by their rank among those of equal length; ranks come from counts of
-salted groups, so a length that a third of all pieces share is ranked in many
-tasks.
+run by their rank among those of equal length.  A task that cuts documents
+numbers its pieces of each length; the counts by task and length give the rank
+its first has, and no piece is sent to another task.  Where those counts are
+too many to be sent to every worker, ranks come from counts of salted groups,
+so a length that a third of all pieces share is ranked in many tasks.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -30,6 +35,10 @@ SIZE = 4096
 REMEMBERED = 120_000
 #: Salted groups of one length hold about so many pieces.
 GROUP = 1_000
+#: Counts by task and length that are sent to every worker; where there are more, pieces are ranked by salted groups.
+COUNTS = 1_000_000
+#: Rows of texts that Spark's Parquet reader decodes at a time where the session has its default of 4,096, whose vectors take much of an executor's heap.
+READ_ROWS = 256
 #: Letters of Latin-1 that Unicode composes and lower-cases one by one, then marks other than apostrophes.
 LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:%&*$#|()-]*)")
 MARKS = b".,!?;:%&*$#|()-"
@@ -119,9 +128,11 @@ def word_ids(path: str) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and end_id, cut only where longer than size.
+    """(doc_id, piece, start, length, ids_crc32, part, nth): each document's ids and end_id, cut only where longer than size.
 
-    Null text is empty: its one piece is end_id alone.
+    Null text is empty: its one piece is end_id alone.  part is the task that
+    cut the piece, nth the number of pieces of its length before it there: they
+    hold once they are written, as a task that runs again may number anew.
     """
     if path is None:
         import public_tokenizers
@@ -131,17 +142,19 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
-        ids = word_ids(path)
+        ids, part_, seen = word_ids(path), TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in (b.slice(a, 1000) for b in batches for a in range(0, len(b), 1000)):
-            docs_, piece, start, length, crc = [], [], [], [], []
+            docs_, piece, start, length, crc, nth = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = b"".join(map(ids.__getitem__, (text or "").encode().split())) + end
                 for k, a in enumerate(range(0, len(data), 4 * size)):
                     part = data[a : a + 4 * size]
-                    docs_.append(doc), piece.append(k), start.append(a // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, batch.column(0).type), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    n = len(part) // 4
+                    docs_.append(doc), piece.append(k), start.append(a // 4), length.append(n), crc.append(zlib.crc32(part)), nth.append(seen[n])
+                    seen[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, batch.column(0).type), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc, [part_] * len(nth), nth))], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part long, nth long")
 
 
 def dominating(left: np.ndarray, a: int, size: int) -> tuple[int, ...]:
@@ -271,38 +284,73 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
     return runs
 
 
+@contextmanager
+def short_reads(spark: SparkSession) -> Iterator[None]:
+    """READ_ROWS holds for what is run meanwhile, unless the session has a number of its own."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, READ_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
+def first_ranks(p: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each task and length of p: part * (size + 1) + length, ascending, and how many pieces of that length earlier tasks have."""
+    t = p.groupBy("part", "length").agg(F.count("*").alias("n")).toArrow()
+    part, length, n = (t.column(c).to_numpy() for c in ("part", "length", "n"))
+    order = np.lexsort((part, length))
+    part, length, n = part[order], length[order], n[order]
+    before = np.cumsum(n) - n
+    before -= before[np.searchsorted(length, length)]
+    keys = part * (size + 1) + length
+    order = np.argsort(keys)
+    return keys[order], before[order]
+
+
+def salted_ranks(p: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """p with each piece's rank among those of its length, by an exchange of all pieces and counts of salted groups."""
+    many = F.broadcast(p.sparkSession.createDataFrame([(k, -(-n // GROUP)) for k, n in counts.items()], "length long, salts long"))  # size rows at most
+    order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
+    p = p.join(many, "length").withColumn("salt", F.pmod(F.xxhash64(*order, "part", "nth"), F.col("salts")))
+    groups = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    base = groups.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("base", F.lit(0)).alias("base"))
+    ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order, "part", "nth")) - 1).join(base, ["length", "salt"])
+    return ranked.withColumn("rank", (F.col("rank") + F.col("base")).cast("long"))
+
+
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of one id; repeated rows and null ids are
-    packed each, and dealt to the salted groups by their place (spot); an empty
-    table gives no rows; other columns are ignored.  The histogram of lengths
-    (size rows at most) is all that reaches the driver.
+    packed each; an empty table gives no rows; other columns are ignored.  The
+    histogram of lengths (size rows at most) and COUNTS counts at most are all
+    that reaches the driver.
     """
     spark = docs.sparkSession
-    p = materialize(token_pieces(docs, path, size).withColumn("spot", (F.monotonically_increasing_id() % 65_536).cast("int")), "pieces")
+    with short_reads(spark):
+        p = materialize(token_pieces(docs, path, size), "pieces")
     kind = p.schema["doc_id"].dataType.simpleString()
-    counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    found = p.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("nth") == 0).alias("parts")).collect()
+    counts = {r["length"]: r["n"] for r in found}
     runs = plan(counts, size)
-    by: dict[int, tuple[list, list, list, list]] = {}
+    by: dict[int, tuple[list, list, list]] = {}
     for length, rank, first, _, offset in sorted(runs):
-        cols = by.setdefault(length, ([], [], [], []))
-        for c, v in zip(cols, (rank, first, offset, 0)):
+        for c, v in zip(by.setdefault(length, ([], [], [])), (rank, first, offset)):
             c.append(v)
-    packed = spark.sparkContext.broadcast({k: tuple(np.asarray(c, np.int64) for c in v[:3]) for k, v in by.items()})
-
-    many = F.broadcast(spark.createDataFrame([(k, -(-n // GROUP)) for k, n in counts.items()], "length long, salts long"))  # size rows at most
-    order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    p = p.join(many, "length").withColumn("salt", F.pmod(F.xxhash64(*order, "spot"), F.col("salts")))
-    groups = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    base = groups.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("base", F.lit(0)).alias("base"))
-    ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order, "start")) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    few = sum(r["parts"] for r in found) <= COUNTS
+    packed = spark.sparkContext.broadcast(({k: tuple(np.asarray(c, np.int64) for c in v) for k, v in by.items()}, first_ranks(p, size) if few else None))
+    ranked = p.withColumnRenamed("nth", "rank") if few else salted_ranks(p, counts)
 
     def work(batches):
-        plan_ = packed.value
+        plan_, firsts_ = packed.value
         for batch in batches:
-            length = batch.column(3).to_numpy()
-            rank = batch.column(5).to_numpy()
+            length, part, rank = (batch.column(c).to_numpy() for c in (3, 5, 6))
+            if firsts_:
+                rank = rank + firsts_[1][np.searchsorted(firsts_[0], part * (size + 1) + length)]
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for k in np.unique(length):
                 at = np.flatnonzero(length == k)
@@ -311,5 +359,5 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
                 sequence[at], offset[at] = firsts[i] + rank[at] - ranks[i], offsets[i]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    cols = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long"))
+    cols = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")
     return cols.mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

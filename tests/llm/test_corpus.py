@@ -268,6 +268,37 @@ def test_packing_is_tight(spark, monkeypatch):
     assert n <= least * 1.02 + 1
 
 
+@pytest.mark.parametrize("counts", [1_000_000, 0])
+def test_pieces_are_ranked_where_they_are_cut_or_by_salted_groups(spark, odd_docs, no_docs, monkeypatch, counts):
+    """An exchange with two sorts for each row took executors most of their heap."""
+    monkeypatch.setattr(packing, "COUNTS", counts, raising=False)
+    monkeypatch.setattr(packing, "GROUP", 3)
+    many = spark.range(0, 300, 1, 7).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', cast(id % 11 * (id % 3) as int))").alias("text"))
+    for docs in (odd_docs.repartition(3), many):
+        docs = docs.select("doc_id", "text").persist()
+        out = packing.pack(docs)
+        assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == (counts == 0)
+        rows = out.collect()
+        n, least = check_pieces([(r["doc_id"], r["text"]) for r in docs.collect()], rows)
+        assert n <= least * 1.02 + 1
+        assert sorted(map(str, rows)) == sorted(map(str, out.collect()))
+        docs.unpersist()
+    assert packing.pack(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(("own", "want"), [(None, "256"), ("1000", "1000")])
+def test_packing_reads_few_texts_at_a_time(spark, odd_docs, monkeypatch, own, want):
+    key, seen, write = "spark.sql.parquet.columnarReaderBatchSize", [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, label: (seen.append(spark.conf.get(key)), write(df, label))[1])
+    if own:
+        spark.conf.set(key, own)
+    try:
+        packing.pack(odd_docs)
+        assert seen == [want] and spark.conf.get(key) == (own or "4096")
+    finally:
+        spark.conf.unset(key)
+
+
 @tables
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
